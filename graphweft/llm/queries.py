@@ -9,7 +9,9 @@ from ..functions.names import canonical_path, current_names, instant_ms
 from ..sources.tables import table
 from .cooccur import cooccurrence
 from .encode import encode
+from .mixing import mix
 from .runs import collapse_runs
+from .sentences import sentences
 from .topn import latest_rows, top_n
 
 #: A pair of files is reported from so many common commits, at so many times chance.
@@ -68,7 +70,23 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_runs, p4_found, p4_pairs, p6_found, p7_ids)}
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The texts of a collection in which each source has its share of the tokens, with their repeats."""
+    return mix(table(spark, d, "documents"), "doc_id", "text", "source", table(spark, d, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual shares of that collection by source."""
+    return mix(table(spark, d, "documents"), "doc_id", "text", "source", table(spark, d, "mix_targets"))[1]
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """The sentence units of every text; in tool output each line is one."""
+    documents = table(spark, d, "documents").select("doc_id", "text", (F.col("source") == "tool_output").alias("per_line"))
+    return sentences(documents, "doc_id", "text", per_line="per_line")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_runs, p4_found, p4_pairs, p6_found, p7_ids, p8_mix, p8_shares, p9_found)}
 
 def _path(c: str) -> str:
     clean = f"trim(replace({c}, chr(92), '/'))"
