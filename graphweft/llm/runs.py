@@ -20,7 +20,7 @@ def _pieces(rows: DataFrame, piece_events: int) -> tuple[DataFrame, bool]:
     if not long:
         return rows.select("*", F.lit(False).alias("__cut"), F.lit(0).cast("long").alias("__piece")), False
     widths = [(r.seq, r.t0, max(1, -(-(r.t1 - r.t0 + 1) // -(-r.n // piece_events)))) for r in long]
-    cuts = rows.sparkSession.createDataFrame(widths, rows.select("seq").schema.add("t0", "bigint").add("width", "bigint"))
+    cuts = rows.sparkSession.createDataFrame(widths, rows.select("seq").schema.add("t0", "long").add("width", "long"))
     joined = rows.join(F.broadcast(cuts), "seq", "left")
     piece = F.floor((F.col("at") - F.col("t0")) / F.col("width"))
     return joined.select("seq", "at", "id", "like", F.col("t0").isNotNull().alias("__cut"), F.coalesce(piece, F.lit(0)).alias("__piece")), True

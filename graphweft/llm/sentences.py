@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 TRAIN_DOCUMENTS = 1500
 TRAIN_CHARS = 20_000
 PASSES = 6
+#: Score by which each true tag has to win in the fit.
+MARGIN = 3.0
+#: How much slower the fit learns moves between tags than features, which say more.
+MOVE_STEP = 0.1
 
 #: Abbreviations that do not end a sentence by themselves.
 INSIDE_WORDS = frozenset(
@@ -288,12 +292,17 @@ class Tagger:
         #: Of a tag after a tag.
         self.moves: dict[tuple[int, int], float] = {}
 
-    def decode(self, chain: list[list[str]]) -> list[int]:
-        """The tags of greatest total score (Viterbi). A feature's weight speaks for boundary and against inside."""
+    def decode(self, chain: list[list[str]], against: list[int] | None = None) -> list[int]:
+        """The tags of greatest total score (Viterbi). A feature's weight speaks for boundary and against inside.
+
+        ``against``: true tags that must win by ``MARGIN`` each, as in the fit.
+        """
         if not chain:
             return []
         w, t = self.weights, self.moves
         scores = [sum(w.get(f, 0.0) for f in features) for features in chain]
+        if against is not None:
+            scores = [s - MARGIN if truth else s + MARGIN for s, truth in zip(scores, against)]
         best = [-scores[0], scores[0]]
         back: list[tuple[int, int]] = []
         for s in scores[1:]:
@@ -310,7 +319,7 @@ class Tagger:
         return tags[::-1]
 
     def fit(self, chains: list[tuple[list[list[str]], list[int]]], passes: int = PASSES) -> Tagger:
-        """Averaged structured perceptron over chains with their true tags."""
+        """Averaged structured perceptron with margin over chains with their true tags."""
         total: dict[str, float] = defaultdict(float)
         moved: dict[tuple[int, int], float] = defaultdict(float)
         w: dict[str, float] = defaultdict(float)
@@ -322,7 +331,7 @@ class Tagger:
             for chain, truth in chains:
                 left = (n - step) / n
                 step += 1
-                guess = self.decode(chain)
+                guess = self.decode(chain, truth)
                 if guess == truth:
                     continue
                 for features, was, should in zip(chain, guess, truth):
@@ -332,8 +341,8 @@ class Tagger:
                             total[f] += (should - was) * left
                 for path, sign in ((truth, 1), (guess, -1)):
                     for move in zip(path, path[1:]):
-                        t[move] += sign
-                        moved[move] += sign * left
+                        t[move] += sign * MOVE_STEP
+                        moved[move] += sign * left * MOVE_STEP
         self.weights, self.moves = dict(total), dict(moved)
         return self
 
