@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
 #: An item in at least so many baskets of its group is frequent.
 FREQUENT = 48
 #: A group has no more frequent items than this; its further ones count as rare (exactly, too).
@@ -77,12 +79,13 @@ def cooccurrence(
       a basket of more than ``RARE_AT_ONCE`` rare items is cut into tiles, so that no task
       gets all of a huge basket.
 
-    Partial counts are united and summed per pair.
+    Partial counts are united and summed per pair. The distinct rows, the items left and their
+    rows are read more than once and so written to the checkpoint folder.
     """
     rows = df.select(F.col(group).alias("grp"), F.col(basket).alias("basket"), F.col(item).alias("item")).where(
         "grp is not null and basket is not null"
     )
-    rows = rows.distinct()
+    rows = checkpointed(rows.distinct())
     sizes = rows.select("grp", "basket").distinct().groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
     items = rows.where("item is not null")
     support = items.groupBy("grp", "item").agg(F.count(F.lit(1)).alias("n_item"))
@@ -93,14 +96,16 @@ def cooccurrence(
     )
     place = F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("n_item"), "item"))
     often = able.where(F.col("n_item") >= frequent).withColumn("place", place).where(F.col("place") <= most_frequent)
-    able = able.join(often.select("grp", "item", F.lit(True).alias("hit")), ["grp", "item"], "left").select(
-        "grp", "item", "n_item", "n", F.coalesce("hit", F.lit(False)).alias("often")
+    able = checkpointed(
+        able.join(often.select("grp", "item", F.lit(True).alias("hit")), ["grp", "item"], "left").select(
+            "grp", "item", "n_item", "n", F.coalesce("hit", F.lit(False)).alias("often")
+        )
     )
-    kept = items.join(able.select("grp", "item", "often"), ["grp", "item"])
+    kept = checkpointed(items.join(able.select("grp", "item", "often", "n"), ["grp", "item"]))
 
     # Frequent items, and rare ones beside them, by blocks of baskets: the block and the column come from a hash of the basket, made dense within the block.
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / block_baskets)).cast("long")
-    numbered = kept.join(sizes, "grp").withColumn("block", F.pmod(F.xxhash64("basket"), blocks))
+    numbered = kept.withColumn("block", F.pmod(F.xxhash64("basket"), blocks))
     in_block = numbered.select("grp", "block", "basket").distinct()
     columns = in_block.withColumn("col", F.row_number().over(Window.partitionBy("grp", "block").orderBy("basket")) - 1)
     placed = numbered.join(columns, ["grp", "block", "basket"]).select("grp", "block", "col", "item", "often")
