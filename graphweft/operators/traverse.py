@@ -73,7 +73,7 @@ def implementors(edges: DataFrame, depth: int = 10) -> DataFrame:
     return found
 
 
-def pagerank(vertices: DataFrame, links: DataFrame, rounds: int = 10, damping: float = 0.85, cut_every: int = 5) -> DataFrame:
+def pagerank(vertices: DataFrame, links: DataFrame, rounds: int = 10, damping: float = 0.85, cut_every: int = 1) -> DataFrame:
     """``(id, rank)`` after ``rounds`` rounds on ``links (src, dst)``, parallel links counted each.
 
     Links carry their share of the source's rank, so a round is one join by source and one
