@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def feature_long(events: DataFrame, entity: str, types: Sequence[str], ident: str, instant: str) -> DataFrame:
@@ -45,21 +48,43 @@ def feature_wide(long: DataFrame, entity: str, types: Sequence[str], listed: Seq
     ``listed`` names the types (parts joined by ``|``) and so fixes the columns
     ``<type>__n`` (0 where absent) and ``<type>__age`` (``now`` less the latest instant, null
     where absent), whatever the data hold. ``n_events``, ``n_types``, ``first_at`` and
-    ``last_at`` are over all types, listed or not. Only the long table is shuffled, by entity.
+    ``last_at`` are over all types, listed or not.
+
+    Only the long table is shuffled, by entity, which has at most one row per type there. The
+    pivot by the explicit list scatters these rows into columns batch by batch, since hundreds
+    of columns are too many for one generated projection.
     """
+    spark, k = long.sparkSession, len(listed)
+    places = spark.createDataFrame([(t, n) for n, t in enumerate(listed)] or [("", -1)], "type string, place int")
     name = F.concat_ws("|", *(F.col(t).cast("string") for t in types))
-    slim = long.select(F.col(entity).alias("entity"), name.alias("type"), "n_events", "first_at", "last_at")
-    totals = slim.groupBy("entity").agg(
-        F.sum("n_events").alias("n_events"), F.count(F.lit(1)).alias("n_types"), F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at")
+    slim = long.select(F.col(entity).alias("entity"), name.alias("type"), "n_events", "first_at", "last_at").join(F.broadcast(places), "type", "left")
+    packed = slim.groupBy("entity").agg(
+        F.sum("n_events").alias("n_events"),
+        F.count(F.lit(1)).alias("n_types"),
+        F.min("first_at").alias("first_at"),
+        F.max("last_at").alias("last_at"),
+        F.collect_list(F.when(F.col("place") >= 0, F.struct("place", F.col("n_events").alias("n"), F.col("last_at").alias("last")))).alias("own"),
     )
-    pivoted = slim.groupBy("entity").pivot("type", list(listed)).agg(F.first(F.struct("n_events", "last_at")))
-    per_type = [
-        c
-        for t in listed
-        for c in (
-            F.coalesce(F.col(f"`{t}`.n_events"), F.lit(0)).alias(f"{t}__n"),
-            (F.lit(now) - F.col(f"`{t}`.last_at")).alias(f"{t}__age"),
-        )
-    ]
-    wide = pivoted.select("entity", *per_type)
-    return totals.join(wide, "entity").withColumnRenamed("entity", entity)
+    packed = packed.withColumn("first_at", F.col("first_at").cast("long")).withColumn("last_at", F.col("last_at").cast("long"))
+    columns = [f"{t}__{what}" for t in listed for what in ("n", "age")]
+    fixed = packed.drop("own").schema.fields
+    schema = T.StructType([T.StructField(entity, fixed[0].dataType), *fixed[1:], *(T.StructField(c, T.LongType()) for c in columns)])
+
+    def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1024):
+                batch = whole.slice(start, 1024)
+                own, rows = batch.column(5), batch.num_rows
+                values = own.flatten()
+                row = np.repeat(np.arange(rows), own.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+                place, n = (values.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in (0, 1))
+                last = values.field(2)
+                seen = last.is_valid().to_numpy(zero_copy_only=False)
+                count, age, none = np.zeros((k, rows), np.int64), np.zeros((k, rows), np.int64), np.ones((k, rows), bool)
+                count[place, row] = n
+                age[place, row] = now - last.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
+                none[place[seen], row[seen]] = False
+                wide = [x for j in range(k) for x in (pa.array(count[j]), pa.array(age[j], mask=none[j]))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(5)), *wide], [f.name for f in schema.fields])
+
+    return packed.mapInArrow(scatter, schema)
