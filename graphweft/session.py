@@ -36,7 +36,8 @@ def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in a folder of its own under the shared checkpoint folder.
 
     Like ``checkpointed``, but computed once and read back by column, and without what Spark has
-    inferred about ``df``: in long loops those inferred predicates grow from round to round.
+    inferred about ``df``: in long loops rounds on checkpoints
+    became slower and slower, probably by such inferred predicates.
     """
     spark = df.sparkSession
     shared_checkpoints(spark)
