@@ -95,21 +95,29 @@ def pagerank(vertices: DataFrame, links: DataFrame, rounds: int = 10, damping: f
     return ranks.select("id", "rank")
 
 
-def components_of_cycles(links: DataFrame, rounds: int = 200) -> DataFrame:
+def components_of_cycles(links: DataFrame, rounds: int | None = None) -> DataFrame:
     """``(node, cycle)``: strongly connected components of two or more nodes, named by their greatest id.
 
     Colouring: nodes without a link in or out are peeled off; then every node takes the
     greatest id that reaches it, and what reaches the owner of a colour back within the colour
     is its component, which is taken out; the rest goes on. Each step is a join and an
-    aggregation over the links left. ``rounds`` bounds all inner rounds together.
+    aggregation over the links left, repeated until nothing changes, which each of them reaches
+    by itself. More than ``rounds`` inner rounds together, where given, are an error.
     """
     left = checkpointed(links.select("src", "dst").where("src <> dst").distinct())
     found = left.select(F.col("src").alias("node"), F.col("src").alias("cycle")).limit(0)
     used = 0
-    while used < rounds and not left.isEmpty():
+
+    def count_round() -> None:
+        nonlocal used
+        used += 1
+        if rounds is not None and used > rounds:
+            raise RuntimeError(f"components of cycles need more than {rounds} rounds")
+
+    while not left.isEmpty():
         size = left.count()
-        while used < rounds:  # peel
-            used += 1
+        while True:  # peel
+            count_round()
             inner = left.select(F.col("src").alias("k")).intersect(left.select(F.col("dst").alias("k")))
             left = checkpointed(left.join(inner.withColumnRenamed("k", "src"), "src", "left_semi").join(inner.withColumnRenamed("k", "dst"), "dst", "left_semi"))
             now = left.count()
@@ -119,8 +127,8 @@ def components_of_cycles(links: DataFrame, rounds: int = 200) -> DataFrame:
         if not size:
             break
         colour = checkpointed(left.select(F.col("src").alias("node")).distinct().withColumn("colour", F.col("node")))
-        while used < rounds:  # the greatest id that reaches each node
-            used += 1
+        while True:  # the greatest id that reaches each node
+            count_round()
             came = left.join(colour.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.max("colour").alias("came"))
             after = checkpointed(colour.join(came, "node", "left").select("node", F.greatest("colour", "came").alias("colour"), (F.coalesce("came", "colour") > F.col("colour")).alias("new")))
             moved = not after.where("new").isEmpty()
@@ -131,8 +139,8 @@ def components_of_cycles(links: DataFrame, rounds: int = 200) -> DataFrame:
         back = checkpointed(same.where("c1 = c2").select("src", "dst", F.col("c1").alias("colour")))
         mine = checkpointed(colour.where("node = colour"))
         front = mine
-        while used < rounds:  # who reaches the owner of the colour
-            used += 1
+        while True:  # who reaches the owner of the colour
+            count_round()
             front = front.select(F.col("node").alias("dst"), "colour").join(back, ["dst", "colour"]).select(F.col("src").alias("node"), "colour").distinct()
             front = checkpointed(front.join(mine, ["node", "colour"], "left_anti"))
             if front.isEmpty():
