@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import scratch, written
+
+#: Rows up to which a side of a join is broadcast in the search for shortest paths.
+NARROW = 50_000
 
 
 def simple_projection(links: DataFrame) -> DataFrame:
@@ -111,34 +114,62 @@ def fingerprints(members: DataFrame) -> DataFrame:
     return members.dropna().distinct().groupBy("community").agg(F.count(F.lit(1)).alias("n_nodes"), F.sum(digit).alias("fingerprint"))
 
 
-def betweenness(links: DataFrame, pivots: DataFrame, depth: int = 64) -> DataFrame:
-    """``(node, betweenness)``: how many shortest paths from ``pivots (node)`` over ``links (src, dst)`` pass each node.
+def _narrow(df: DataFrame, n: int) -> DataFrame:
+    """``df`` of ``n`` rows, broadcast if these are few, so that the other side of a join need not be shuffled."""
+    return F.broadcast(df) if n <= NARROW else df
 
-    With all nodes as pivots this is the exact betweenness (not normalised); fewer are the usual
-    sample of it. A breadth-first search of all pivots at once counts shortest paths level by
-    level, then the levels hand their dependencies back. State is one row per pivot and node
-    reached, so pivots are to be few where the graph is large. Paths longer than ``depth`` are
-    not followed. Nodes that no path passes do not come out.
+
+def _passed(step: DataFrame, pivots: DataFrame, folder: str) -> DataFrame:
+    """``(node, passed)`` per pivot of ``pivots (node)`` and node passed, for distinct links ``step (src, dst)``.
+
+    The tables of all levels lie in one folder and are read as one, so that no plan grows with the levels.
     """
-    step = written(links.dropna(subset=["src", "dst"]).where("src <> dst").select("src", "dst").distinct())
-    front = written(pivots.where("node is not null").select(F.col("node").alias("pivot"), "node", F.lit(1.0).alias("paths")).distinct())
-    levels, seen = [front], front.select("pivot", "node")
-    for _ in range(depth):
-        on = front.withColumnRenamed("node", "src").join(step, "src").groupBy("pivot", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
-        front = written(on.join(seen, ["pivot", "node"], "left_anti"))
-        if front.isEmpty():
-            break
-        levels.append(front)
-        seen = seen.unionByName(front.select("pivot", "node"))
-    below = levels[-1].withColumn("passed", F.lit(0.0))
-    parts = []
-    for level in reversed(levels[:-1]):
-        parts.append(below)
+    spark = step.sparkSession
+    front = written(pivots.select(F.col("node").alias("pivot"), "node", F.lit(1.0).alias("paths")), folder, "reached/level=0")
+    levels = [(front, front.count())]
+    while levels[-1][1]:
+        front, n = levels[-1]
+        on = _narrow(front.withColumnRenamed("node", "src"), n).join(step, "src").groupBy("pivot", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
+        on = written(on, folder)
+        n = on.count()
+        seen = spark.read.schema(front.schema).parquet(f"{folder}/reached").select("pivot", "node")
+        known = seen.join(_narrow(on.select("pivot", "node"), n), ["pivot", "node"], "left_semi")
+        front = written(on.join(_narrow(known, n), ["pivot", "node"], "left_anti"), folder, f"reached/level={len(levels)}")
+        levels.append((front, front.count()))
+    front, n_below = levels.pop()
+    below = written(front.withColumn("passed", F.lit(0.0)), folder, "passed/level=0")
+    for k in range(len(levels) - 1, 0, -1):  # the pivots themselves are not passed
+        level, n = levels[k]
         down = below.select("pivot", F.col("node").alias("dst"), ((F.col("passed") + 1) / F.col("paths")).alias("each"))
-        hand = level.select("pivot", F.col("node").alias("src"), "paths").join(step, "src").join(down, ["pivot", "dst"])
+        hand = _narrow(level.select("pivot", F.col("node").alias("src"), "paths"), n).join(step, "src").join(_narrow(down, n_below), ["pivot", "dst"])
         got = hand.groupBy("pivot", F.col("src").alias("node")).agg(F.sum(F.col("paths") * F.col("each")).alias("passed"))
-        below = written(level.join(got, ["pivot", "node"], "left").select("pivot", "node", "paths", F.coalesce("passed", F.lit(0.0)).alias("passed")))
-    every = parts[0] if parts else below.where("false")
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    return every.groupBy("node").agg(F.sum("passed").alias("betweenness")).where("betweenness > 0")
+        below = level.join(_narrow(got, n), ["pivot", "node"], "left").select("pivot", "node", "paths", F.coalesce("passed", F.lit(0.0)).alias("passed"))
+        below, n_below = written(below, folder, f"passed/level={k}"), n
+    return spark.read.schema(below.schema).parquet(f"{folder}/passed").where("passed > 0").select("node", "passed")
+
+
+def betweenness(links: DataFrame, pivots: DataFrame, batch: int = 1 << 18) -> DataFrame:
+    """``(node, betweenness)``: how many shortest paths from ``pivots (node)`` over ``links (src, dst)`` pass each node.
+
+    With all nodes as pivots this is the exact betweenness (not normalised); fewer are the usual
+    sample of it. Pivots go, by a hash, in batches of about ``batch``, each a breadth-first search
+    of all its pivots at once that counts shortest paths level by level until nothing new is
+    reached; then the levels hand their dependencies back, and batches are summed per node.
+    State is one row per pivot of the batch and node reached, and is deleted with its batch.
+    Nodes go by numbers meanwhile. Nodes that no path passes do not come out.
+    """
+    named = links.dropna(subset=["src", "dst"]).where("src <> dst").select("src", "dst").distinct()
+    with scratch(links.sparkSession) as folder:
+        ids = written(named.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("k", F.monotonically_increasing_id()), folder)
+        step = named.join(ids.select(F.col("node").alias("src"), F.col("k").alias("a")), "src").join(ids.select(F.col("node").alias("dst"), F.col("k").alias("b")), "dst")
+        step = written(step.select(F.col("a").alias("src"), F.col("b").alias("dst")), folder)
+        starts = pivots.select("node").distinct().join(ids, "node").select(F.col("k").alias("node"))
+        starts = written(starts.join(step.select(F.col("src").alias("node")), "node", "left_semi"), folder)
+        n_batches = max(1, -(-starts.count() // batch))
+        for k in range(n_batches):
+            with scratch(links.sparkSession) as own:
+                passed = _passed(step, starts.where(F.pmod(F.xxhash64("node"), F.lit(n_batches)) == k), own)
+                part = written(passed.groupBy("node").agg(F.sum("passed").alias("passed")), folder, f"sums/batch={k}")
+        every = links.sparkSession.read.schema(part.schema).parquet(f"{folder}/sums")
+        whole = every.groupBy(F.col("node").alias("k")).agg(F.sum("passed").alias("betweenness"))
+        return written(whole.join(ids, "k").select("node", "betweenness"))

@@ -11,8 +11,6 @@ from ..sources.tables import table
 from .activity_queries import _OBS, _observations
 from .graph_queries import _COUPLING, _CYCLES, BASE, STRUCTURAL, _dead, coupling_hotspots, dead_code, file_cycles, god_classes
 
-#: Source nodes from which betweenness is counted, chosen by a hash.
-PIVOTS = 16
 #: What is a name, and what a file, in running text.
 NAMES, FILES = r"[A-Za-z_][A-Za-z0-9_]*", r"[A-Za-z0-9_.-]*[A-Za-z0-9_-]\.[A-Za-z]+"
 #: Kinds of documents that state rules for a scope.
@@ -39,10 +37,9 @@ def community_fingerprints(spark: SparkSession, d: str) -> DataFrame:
 
 
 def betweenness(spark: SparkSession, d: str) -> DataFrame:
-    """Shortest structural paths from sampled nodes that pass each node."""
+    """Shortest structural paths between all nodes that pass each node."""
     links = _structure(spark, d)
-    pivots = links.select(F.col("src").alias("node")).distinct().orderBy(F.xxhash64("node"), "node").limit(PIVOTS)
-    return community.betweenness(links, pivots).select("node", F.round("betweenness", 6).alias("betweenness"))
+    return community.betweenness(links, links.select(F.col("src").alias("node"))).select("node", F.round("betweenness", 6).alias("betweenness"))
 
 
 def definitions(spark: SparkSession, d: str) -> DataFrame:

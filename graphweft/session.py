@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,8 +34,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in a folder of its own under the shared checkpoint folder.
+def written(df: DataFrame, folder: str | None = None, name: str | None = None) -> DataFrame:
+    """``df`` as a Parquet table in a folder of its own under the shared checkpoint folder, or in ``name`` under ``folder``.
 
     Like ``checkpointed``, but computed once and read back by column, and without what Spark has
     inferred about ``df``: in long loops rounds on checkpoints
@@ -41,6 +43,18 @@ def written(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     shared_checkpoints(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    path = f"{folder or spark.sparkContext.getCheckpointDir()}/{name or uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A folder for ``written`` under the shared checkpoint folder, deleted at the end."""
+    shared_checkpoints(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    try:
+        yield folder
+    finally:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -8,6 +8,7 @@ from collections import defaultdict, deque
 import pytest
 
 from graphweft.operators import community, context
+from graphweft.plans import context_queries
 
 
 def rows(df):
@@ -57,6 +58,24 @@ def test_betweenness_equals_brute_force(spark):
     assert community.betweenness(links_of(spark, []), pivots).count() == 0
 
 
+def test_betweenness_follows_long_paths_in_batches(spark):
+    chain = [(f"c{k}", f"c{k + 1}") for k in range(66)]
+    got = {r.node: r.betweenness for r in community.betweenness(links_of(spark, chain), spark.createDataFrame([("c0",)], "node string")).collect()}
+    assert got == {f"c{k}": 66.0 - k for k in range(1, 66)}
+    draw = random.Random(5)
+    names = [f"n{k}" for k in range(12)]
+    pairs = [(draw.choice(names), draw.choice(names)) for _ in range(24)]
+    pivots = spark.createDataFrame([(s,) for s in names], "node string")
+    got = {r.node: round(r.betweenness, 9) for r in community.betweenness(links_of(spark, pairs), pivots, batch=5).collect()}
+    assert got == pytest.approx(brute_betweenness(pairs, names))
+
+
+def test_betweenness_query_takes_all_sources(spark, monkeypatch):
+    pairs = [(f"s{k}", f"m{k}") for k in range(20)] + [(f"m{k}", f"t{k}") for k in range(20)]
+    monkeypatch.setattr(context_queries, "_structure", lambda *_: links_of(spark, pairs))
+    assert rows(context_queries.betweenness(spark, "")) == sorted((f"m{k}", 1.0) for k in range(20))
+
+
 def test_communities_of_joined_cliques(spark):
     cliques = [[f"{c}{k}" for k in range(6)] for c in "abc"]
     pairs = [(x, y) for c in cliques for x in c for y in c if x < y] + [("a0", "b0"), ("b1", "c1"), ("c2", "a2"), ("a0", "a0"), (None, "a1"), ("a1", "a0")]
