@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 
@@ -40,39 +41,53 @@ def hourly_counts(stream: DataFrame, late: str = "30 days") -> DataFrame:
 
 
 def attention_weights(stream: DataFrame) -> DataFrame:
-    """``(session_id, file_path, weight, accesses, edited)`` with state per session and file.
+    """``(session_id, file_path, weight, accesses, edited)`` with state per session and file, each ``id`` once.
 
     A read adds ``READ_GAIN`` (``EDITED_GAIN`` more once the file was edited), up to 1; each
     event of the file between loses nothing, each full minute since its last event loses
-    ``DECAY``; a weight of ``LEAST`` or less starts anew. State is one row per key; a key is let
-    go when the watermark, ``KEEP_DAYS`` behind the latest event, is as long past its last one.
+    ``DECAY``; a weight of ``LEAST`` or less starts anew. Events count in the order of their
+    time, then ``id``, in whatever order and batches they arrive: state is what the events before
+    the watermark came to, and the later ones as they are. A key is let go when the watermark,
+    ``KEEP_DAYS`` behind the latest event, is as long past its last one.
     """
 
+    def folded(came: tuple, events: Iterator[tuple]) -> tuple:
+        weight, accesses, edited, last = came
+        for at, _, event in events:
+            if accesses and at > last:
+                weight -= DECAY * ((at - last) // 60_000)
+            weight = 0.0 if weight <= LEAST else weight
+            edited = edited or event in ("file:edit", "file:create")
+            if event == "file:read":
+                weight = min(1.0, weight + READ_GAIN + (EDITED_GAIN if edited else 0.0))
+            accesses, last = accesses + 1, max(last, at)
+        return float(weight), int(accesses), bool(edited), int(last)
+
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        weight, accesses, edited, last = state.get if state.exists else (0.0, 0, False, 0)
+        *came, held = state.get if state.exists else (0.0, 0, False, 0, "[]")
+        events = [tuple(e) for e in json.loads(held)]
         for batch in batches:
-            for at, event in batch.sort_values(["instant", "id"])[["instant", "event"]].itertuples(index=False):
-                if accesses and at > last:
-                    weight -= DECAY * ((at - last) // 60_000)
-                weight = 0.0 if weight <= LEAST else weight
-                edited = edited or event in ("file:edit", "file:create")
-                if event == "file:read":
-                    weight = min(1.0, weight + READ_GAIN + (EDITED_GAIN if edited else 0.0))
-                accesses, last = accesses + 1, max(last, at)
-        state.update((float(weight), int(accesses), bool(edited), int(last)))
-        state.setTimeoutTimestamp(max(int(last), state.getCurrentWatermarkMs()) + KEEP_DAYS * 86_400_000)
+            events += [(int(at), int(i), None if pd.isna(e) else e) for at, i, e in batch[["instant", "id", "event"]].itertuples(index=False)]
+        events.sort(key=lambda e: e[:2])
+        mark = state.getCurrentWatermarkMs()
+        came = folded(came, (e for e in events if e[0] < mark))
+        held = [e for e in events if e[0] >= mark]
+        weight, accesses, edited, last = folded(came, held)
+        state.update((*came, json.dumps(held)))
+        state.setTimeoutTimestamp(max(last, mark) + KEEP_DAYS * 86_400_000)
         yield pd.DataFrame({"session_id": [key[0]], "file_path": [key[1]], "weight": [round(weight, 6)], "accesses": [accesses], "edited": [edited]})
 
     return (
         stream.withWatermark("event_time", f"{KEEP_DAYS} days")
-        .where("session_id is not null and file_path is not null and instant is not null")
+        .where("id is not null and session_id is not null and file_path is not null and instant is not null")
+        .dropDuplicatesWithinWatermark(["id"])
         .groupBy("session_id", "file_path")
         .applyInPandasWithState(
             fold, "session_id string, file_path string, weight double, accesses long, edited boolean",
-            "weight double, accesses long, edited boolean, last long", "update", GroupStateTimeout.EventTimeTimeout,
+            "weight double, accesses long, edited boolean, last long, held string", "update", GroupStateTimeout.EventTimeTimeout,
         )
     )
 
