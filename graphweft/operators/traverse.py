@@ -59,6 +59,19 @@ def reach(seeds: DataFrame, links: DataFrame, depth: int) -> DataFrame:
     return found
 
 
+def flow_steps(seeds: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
+    """``(source, target, type, depth)``: every step of the flows from ``seeds (node)``.
+
+    Calls and ``flows_to`` are followed; each node less than ``depth`` links away gives a step,
+    one deeper than itself, for each of these edges and for each of what it reads, writes and
+    returns (the ``returns`` steps are those of errors, to be filtered by type if not asked for).
+    """
+    onward = edges.where("type in ('calls', 'flows_to')").select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"))
+    visited = reach(seeds, onward, depth - 1).select(F.col("node").alias("source_id"), "depth")
+    steps = edges.where("type in ('calls', 'flows_to', 'reads', 'writes', 'returns')").join(visited, "source_id")
+    return steps.select(F.col("source_id").alias("source"), F.col("target_id").alias("target"), "type", (F.col("depth") + 1).alias("depth"))
+
+
 def implementors(edges: DataFrame, depth: int = 10) -> DataFrame:
     """``(target_id, implementor, indirect)``: direct implementors of anything and, one by one, theirs."""
     direct = checkpointed(edges.where("type = 'implements' and source_id <> target_id").select("target_id", F.col("source_id").alias("implementor")).distinct())

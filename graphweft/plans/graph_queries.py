@@ -143,12 +143,21 @@ def change_impact(spark: SparkSession, d: str) -> DataFrame:
     return best.join(shown.select("id", "file_path"), "id").groupBy("file_path").agg(F.round(F.max("c"), 6).alias("max_confidence"), F.count(F.lit(1)).alias("n_nodes"))
 
 
+def _handlers(spark: SparkSession, d: str) -> DataFrame:
+    return functions(spark, d).where(F.col("name").rlike("^handle|Handler$")).select(F.col("id").alias("node"))
+
+
 def trace_flow(spark: SparkSession, d: str) -> DataFrame:
-    starts = functions(spark, d).where(F.col("name").rlike("^handle|Handler$")).select(F.col("id").alias("node"))
+    """Nodes that flows from handlers pass; all steps, those of values read, written and returned too, are in ``trace_flow_steps``."""
+    starts = _handlers(spark, d)
     links = edges(spark, d).where("type in ('calls', 'flows_to')").select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"))
     return traverse.reach(starts, links, 5)
 
 
+def trace_flow_steps(spark: SparkSession, d: str) -> DataFrame:
+    return traverse.flow_steps(_handlers(spark, d), edges(spark, d), 5)
+
+
 def taint(spark: SparkSession, d: str) -> DataFrame:
     """How far values flow from parameters read: ``flows_to`` from the readers of variables, ten rounds at most."""
     links = edges(spark, d).where("type = 'flows_to'").select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"))
@@ -181,7 +190,7 @@ QUERIES = {
     for f in (
         hubs, degrees, overview, symbol_references, file_context, enclosing_scopes, structural_edges, file_edges, coupling_hotspots,
         dead_code, file_cycles, health_score, layer_assignments, layer_summary, layer_findings, god_classes, complexity_hotspots,
-        feature_envy, shotgun_surgery, predicted_impact, entry_points, blast_radius, impact_summary, change_impact, trace_flow, taint,
+        feature_envy, shotgun_surgery, predicted_impact, entry_points, blast_radius, impact_summary, change_impact, trace_flow, trace_flow_steps, taint,
         cascade_invalidation, implementors, pagerank,
     )
 }
@@ -350,6 +359,9 @@ select id, score, score > 0.5 as is_entry_point from s where score > 0""",
 SQL["trace_flow"] = f"{_W}, " + _reach(
     "select id as node from fn where starts_with(name, 'handle') or ends_with(name, 'Handler')", "select source_id as src, target_id as dst from edge where type in ('calls', 'flows_to')", 5
 )
+_VISITED = _reach("select id as node from fn where starts_with(name, 'handle') or ends_with(name, 'Handler')", "select source_id as src, target_id as dst from edge where type in ('calls', 'flows_to')", 4)
+SQL["trace_flow_steps"] = f"""{_W}, {_VISITED.removesuffix(' select node, depth from r4')}
+select e.source_id as source, e.target_id as target, e.type, r4.depth + 1 as depth from edge e join r4 on r4.node = e.source_id where e.type in ('calls', 'flows_to', 'reads', 'writes', 'returns')"""
 _CYCLES = """
 cl as (select distinct from_file as src, to_file as dst from link where type in ('imports', 'extends')),
 closure as (select src, dst from cl union select c.src, l.dst from closure c join cl l on l.src = c.dst),

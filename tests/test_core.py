@@ -243,3 +243,9 @@ def test_streams(spark, tmp_path):
     spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/log.parquet")
     hourly = streams.run_updates(streams.hourly_counts(streams.observation_stream(spark, f"{tmp_path}/log.parquet")), ["hour", "event"])
     assert [(r.event, r.n) for r in hourly.collect()] == [("file:read", 2)]
+
+
+def test_flow_steps_give_reads_and_writes_but_do_not_follow_them(spark):
+    told = [("h", "f", "calls"), ("f", "g", "flows_to"), ("g", "h", "calls"), ("f", "v", "reads"), ("g", "w", "writes"), ("f", "e", "returns"), ("v", "x", "calls"), ("g", "z", "contains")]
+    steps = traverse.flow_steps(spark.createDataFrame([("h",)], "node string"), spark.createDataFrame(told, "source_id string, target_id string, type string"), 2)
+    assert rows(steps) == [("f", "e", "returns", 2), ("f", "g", "flows_to", 2), ("f", "v", "reads", 2), ("h", "f", "calls", 1)]
