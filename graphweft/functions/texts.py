@@ -49,3 +49,8 @@ def category(col: Column) -> Column:
 def words(col: Column) -> Column:
     """ASCII words of a text in lower case, in order."""
     return F.filter(F.split(F.lower(col), "[^a-z0-9]+"), lambda w: w != "")
+
+
+def letter_words(col: Column) -> Column:
+    """Words of letters, their marks and digits of any script in lower case, in order."""
+    return F.filter(F.split(F.lower(col), r"[^\p{L}\p{M}\p{N}]+"), lambda w: w != "")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import texts
@@ -68,6 +68,25 @@ def bm25_text(spark: SparkSession, d: str) -> DataFrame:
     return search.bm25(_asked(spark), table(spark, d, "documents"), "doc_id", F.col("text"))
 
 
+def _asked_documents(docs: DataFrame, text: Column) -> DataFrame:
+    return docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query"), texts.letter_words(text).alias("terms")).where("terms is not null")
+
+
+def bm25_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The best texts for the words, of any script, of every hundredth text."""
+    docs, text = table(spark, d, "documents"), F.col("text")
+    return search.bm25(_asked_documents(docs, text), docs, "doc_id", text, split_words=texts.letter_words)
+
+
+def hybrid_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Both rankings of ``hybrid_rank`` for the words, of any script, of every hundredth text."""
+    docs, text = table(spark, d, "documents"), F.col("text")
+    named = F.concat_ws(" ", "source", "file_path", text)
+    asked = _asked_documents(docs, text)
+    by_text = search.bm25(asked, docs, "doc_id", text, 20, texts.letter_words)
+    return search.fuse(by_text, search.bm25(asked, docs, "doc_id", named, 20, texts.letter_words))
+
+
 def hybrid_rank(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     names = F.concat_ws(" ", "source", "file_path")
@@ -151,6 +170,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         tool_counts, edit_hotspots, user_sessions, attention, blind_spots, community_activity, pulse, investigation_scope, bm25_text, hybrid_rank,
+        bm25_documents, hybrid_documents,
         cosine_top, name_search, content_hashes, file_languages, slugs, categories, state_difference, edges_after_delete, upserted_edges,
         graph_growth, sql_over_graph, stream_hourly, stream_attention,
     )

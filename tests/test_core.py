@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from graphweft.functions import names, texts
 from graphweft.operators import features, graph, health, orphans, patterns, search, sessions, skew, store, traverse
+from graphweft.plans import activity_queries
 from graphweft.plans.sql import check_read_only
 
 T = datetime.fromisoformat
@@ -249,3 +250,10 @@ def test_flow_steps_give_reads_and_writes_but_do_not_follow_them(spark):
     told = [("h", "f", "calls"), ("f", "g", "flows_to"), ("g", "h", "calls"), ("f", "v", "reads"), ("g", "w", "writes"), ("f", "e", "returns"), ("v", "x", "calls"), ("g", "z", "contains")]
     steps = traverse.flow_steps(spark.createDataFrame([("h",)], "node string"), spark.createDataFrame(told, "source_id string, target_id string, type string"), 2)
     assert rows(steps) == [("f", "e", "returns", 2), ("f", "g", "flows_to", 2), ("f", "v", "reads", 2), ("h", "f", "calls", 1)]
+
+
+def test_bm25_documents_finds_words_of_any_script(spark, tmp_path):
+    told = [(0, "Кэш очищен"), (1, "кэш полон"), (2, "पूर्ण कैश"), (3, "naïve cache"), (100, "naïve"), (200, "कैश"), (300, None)]
+    spark.createDataFrame(told, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = activity_queries.bm25_documents(spark, str(tmp_path))
+    assert [r[:2] for r in rows(found.select("query", "doc"))] == [(0, 0), (0, 1), (100, 3), (100, 100), (200, 2), (200, 200)]
