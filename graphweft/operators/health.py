@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,7 +52,7 @@ def coupling_hotspots(links: DataFrame) -> DataFrame:
     return hot.select("file_path", "fan_in", "fan_out", "incoming", "outgoing", kind.alias("kind"))
 
 
-def dead_code(vertices: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
+def dead_code(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """``(id, round)``: functions and classes that nothing living refers to.
 
     Round 0 has those without any incoming edge but ``contains``; each further round those
@@ -64,7 +66,7 @@ def dead_code(vertices: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFr
     into = edges.where("type <> 'contains'").select("source_id", F.col("target_id").alias("id")).distinct()
     calls = checkpointed(into.join(able, "id", "left_semi"))
     dead = checkpointed(able.join(calls, "id", "left_anti").withColumn("round", F.lit(0)))
-    for k in range(1, rounds + 1):
+    for k in itertools.count(1):
         known = dead.select(F.col("id").alias("source_id"), F.lit(1).alias("gone"))
         tried = calls.join(dead.select("id"), "id", "left_anti").join(known, "source_id", "left")
         more = checkpointed(tried.groupBy("id").agg(F.count("gone").alias("g"), F.count(F.lit(1)).alias("n")).where("g = n").select("id", F.lit(k).alias("round")))

@@ -72,12 +72,12 @@ def flow_steps(seeds: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     return steps.select(F.col("source_id").alias("source"), F.col("target_id").alias("target"), "type", (F.col("depth") + 1).alias("depth"))
 
 
-def implementors(edges: DataFrame, depth: int = 10) -> DataFrame:
+def implementors(edges: DataFrame) -> DataFrame:
     """``(target_id, implementor, indirect)``: direct implementors of anything and, one by one, theirs."""
     direct = checkpointed(edges.where("type = 'implements' and source_id <> target_id").select("target_id", F.col("source_id").alias("implementor")).distinct())
     found, front = direct.withColumn("indirect", F.lit(False)), direct
     step = direct.select(F.col("target_id").alias("implementor"), F.col("implementor").alias("next"))
-    for _ in range(depth):
+    while True:
         more = front.join(step, "implementor").select("target_id", F.col("next").alias("implementor")).distinct().where("target_id <> implementor")
         front = checkpointed(more.join(found.select("target_id", "implementor"), ["target_id", "implementor"], "left_anti"))
         if front.isEmpty():

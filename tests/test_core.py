@@ -257,3 +257,8 @@ def test_bm25_documents_finds_words_of_any_script(spark, tmp_path):
     spark.createDataFrame(told, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     found = activity_queries.bm25_documents(spark, str(tmp_path))
     assert [r[:2] for r in rows(found.select("query", "doc"))] == [(0, 0), (0, 1), (100, 3), (100, 100), (200, 2), (200, 200)]
+
+
+def test_implementors_of_a_deep_hierarchy(spark):
+    told = spark.createDataFrame([(f"n{k + 1}", f"n{k}", "implements") for k in range(14)], "source_id string, target_id string, type string")
+    assert traverse.implementors(told).where("target_id = 'n0'").count() == 14
