@@ -4,106 +4,143 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .skew import MAX_HEAVY, heavy_keys, is_heavy
+from ..session import written
+from .skew import is_heavy, key_hash, tasks_of
 
 #: Ids with these prefixes stand for things that are never records (fixed values of the data model).
 PSEUDO_PREFIXES = ("param:", "field:", "error:")
+#: Spells of heavy keys are broadcast up to so many rows (some tens of MB); beyond, they are shuffled like the others.
+BROADCAST_ROWS = 500_000
 
 
 def reference_ends(edges: DataFrame, sides: dict[str, str], ident: str, at: str, pseudo: Sequence[str] = PSEUDO_PREFIXES) -> DataFrame:
-    """One row ``(ref_id, side, key, at)`` per reference; null and pseudo keys are no references."""
+    """One row ``(ref_id, at, side, key, period)`` per reference, ``period`` the month of ``at``; null and pseudo keys are no references."""
     ends = F.array(*(F.struct(F.lit(side).alias("side"), F.col(c).alias("key")) for side, c in sides.items()))
     rows = edges.select(F.col(ident).alias("ref_id"), F.col(at).alias("at"), F.inline(ends))
     keep = F.col("key").isNotNull()
     for p in pseudo:
         keep = keep & ~F.col("key").startswith(p)
-    return rows.where(keep)
+    return rows.where(keep).withColumn("period", F.date_trunc("month", "at"))
 
 
 def spells(*tables: DataFrame) -> DataFrame:
-    """``(key, spells)`` from tables ``(id, since, until)``: the different spells of each id.
+    """``(key, since, until)``: the different spells of each id, a row each, from tables ``(id, since, until)``.
 
-    ``since`` null means since ever, ``until`` null still there. Rows with a null id are no
-    records. Equal spells are merged before the shuffle.
+    ``since`` null means since ever, ``until`` null still there. Rows with a null id are no records.
     """
     rows = tables[0]
     for t in tables[1:]:
         rows = rows.unionByName(t)
-    return (
-        rows.where("id is not null")
-        .groupBy(F.col("id").alias("key"))
-        .agg(F.collect_set(F.struct("since", "until")).alias("spells"))
-    )
+    return rows.where("id is not null").select(F.col("id").alias("key"), "since", "until").distinct()
+
+
+def _begun(at: Column) -> Column:
+    return F.col("since").isNull() | (F.col("since") <= at)
+
+
+def _lasts(at: Column) -> Column:
+    return F.col("until").isNull() | (F.col("until") > at)
 
 
-def _kind(at: Column, found: Column) -> Column:
-    """``missing``, ``deleted`` or ``later`` of a reference at a time, null if the record was there.
+def _judged(groups: DataFrame, records: DataFrame, broadcast: bool) -> DataFrame:
+    """Groups not wholly covered by one spell, as ``(key, side, period, n, ended, kind)``.
 
-    A reference without a time is an orphan only if the id has no record at all.
+    An anti-join drops the groups that one spell covers. What is left is ``missing`` if the id
+    has no record, ``deleted`` or ``later`` if that holds for all its times, nothing if the id
+    has records but the group no times, and ``mixed`` otherwise. ``ended`` is the first end of
+    a spell of the id.
     """
-    there = F.exists(found, lambda s: (s.since.isNull() | (s.since <= at)) & (s.until.isNull() | (s.until > at)))
-    gone = F.exists(found, lambda s: F.coalesce(s.until <= at, F.lit(False)))
-    return (
-        F.when(found.isNull(), "missing")
-        .when(at.isNull() | there, F.lit(None).cast("string"))
-        .when(gone, "deleted")
-        .otherwise("later")
+    known = F.broadcast(records) if broadcast else records
+    covered = (F.col("g.key") == F.col("s.key")) & _begun(F.col("g.first")) & _lasts(F.col("g.last"))
+    suspects = groups.alias("g").join(known.alias("s"), covered, "left_anti")
+    there = _begun(F.col("last")) & _lasts(F.col("first"))
+    seen = suspects.join(known.withColumn("known", F.lit(True)), "key", "left").groupBy("key", "side", "period").agg(
+        F.first("n").alias("n"),
+        F.first("first").alias("first"),
+        F.first("last").alias("last"),
+        F.max("known").alias("known"),
+        F.max(F.coalesce("known", F.lit(False)) & there).alias("touched"),
+        F.min("until").alias("ended"),
     )
+    kind = (
+        F.when(F.col("known").isNull(), "missing")
+        .when(F.col("first").isNull(), F.lit(None).cast("string"))
+        .when(F.col("touched"), "mixed")
+        .when(F.col("ended") <= F.col("first"), "deleted")
+        .when(F.col("ended").isNull() | (F.col("ended") > F.col("last")), "later")
+        .otherwise("mixed")
+    )
+    return seen.withColumn("kind", kind).where("kind is not null").select("key", "side", "period", "n", "ended", "kind")
 
 
-def _split(refs: DataFrame, records: DataFrame, heavy: list[Row]) -> DataFrame:
-    """``refs`` with the ``spells`` of their keys: heavy keys by broadcast, all others by shuffle, united.
+def orphan_groups(refs: DataFrame, records: DataFrame) -> tuple[DataFrame, list[int]]:
+    """Groups of references that are or may be orphans, ``(key, side, period, n, ended, kind)``, and the hashes of heavy keys.
 
-    What is broadcast are the records of at most ``max_heavy`` keys.
+    References are aggregated per key, side and period with their number and their first and
+    last time. Skew-aware split: keys that hold more references than an average task (fewer
+    than tasks) are checked against a broadcast of just their spells, if these are few enough,
+    all other keys in a shuffled anti-join; both are united.
     """
+    groups = refs.groupBy("key", "side", "period").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"), F.max("at").alias("last"))
+    groups = written(groups)
+    share = groups.agg(F.sum("n")).first()[0] or 0
+    per_key = groups.groupBy("key").agg(F.sum("n").alias("n"))
+    heavy = [r.h for r in per_key.where(F.col("n") * tasks_of(refs.sparkSession) > share).select(key_hash(["key"]).alias("h")).collect()]
     if not heavy:
-        return refs.join(records, "key", "left")
+        return written(_judged(groups, records, False)), heavy
     hot = is_heavy(["key"], heavy)
-    light = refs.where(~hot).join(records.where(~hot), "key", "left")
-    return light.unionByName(refs.where(hot).join(F.broadcast(records.where(hot)), "key", "left"))
+    few = records.where(hot).limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    both = _judged(groups.where(hot), records.where(hot), few).unionByName(_judged(groups.where(~hot), records.where(~hot), False))
+    return written(both), heavy
 
 
-def orphan_references(refs: DataFrame, records: DataFrame, *, max_heavy: int = MAX_HEAVY, min_rows: int = 10_000) -> DataFrame:
-    """The orphans ``(ref_id, side, key, at, kind)`` among ``refs`` of ``reference_ends``.
+def _edges_of(refs: DataFrame, groups: DataFrame, records: DataFrame, heavy: list[int]) -> DataFrame:
+    """The orphans ``(ref_id, side, key, at, period, kind)`` among the references of ``groups``.
 
-    Skew-aware split: keys with more than ``1 / max_heavy`` of all references (at most
-    ``max_heavy`` keys) are checked against a broadcast of just their records, the other keys
-    in a shuffled outer join of which only the unmatched remain; both are united. A reference
-    repeated under another ``ref_id`` is an orphan of its own. Empty records make all
-    references ``missing``; empty references give no rows.
+    References of heavy keys are salted by their id and the few groups of these keys repeated
+    for each salt, so that no task gets all of a key. Only in mixed groups is each reference
+    held against the spells of its id.
+    """
+    salts = tasks_of(refs.sparkSession)
+    none = F.lit(0).cast("long")
+    salt = F.when(is_heavy(["key"], heavy), F.pmod(F.xxhash64("ref_id"), F.lit(salts))).otherwise(none)
+    every = F.when(is_heavy(["key"], heavy), F.sequence(none, F.lit(salts - 1).cast("long"))).otherwise(F.array(none))
+    g = groups.select("key", "side", "period", "ended", "kind", F.explode(every).alias("salt")).alias("g")
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"g.{c}")) if c == "period" else F.col(f"r.{c}") == F.col(f"g.{c}") for c in ("key", "side", "period", "salt")]
+    rows = refs.withColumn("salt", salt).alias("r").join(g, same).select("r.ref_id", "r.side", "r.key", "r.at", "r.period", "r.salt", "g.ended", "g.kind")
+    columns = ["ref_id", "side", "key", "at", "period", "kind"]
+    mixed = rows.where("kind = 'mixed'").alias("m")
+    s = records.join(groups.where("kind = 'mixed'").select("key").distinct(), "key").withColumn("salt", F.explode(every)).alias("s")
+    there = (F.col("m.key") == F.col("s.key")) & (F.col("m.salt") == F.col("s.salt")) & _begun(F.col("m.at")) & _lasts(F.col("m.at"))
+    absent = mixed.join(s, there, "left_anti").withColumn("kind", F.when(F.col("ended") <= F.col("at"), "deleted").otherwise("later"))
+    return rows.where("kind <> 'mixed'").select(columns).unionByName(absent.select(columns))
+
+
+def orphan_references(refs: DataFrame, records: DataFrame) -> DataFrame:
+    """The orphans ``(ref_id, side, key, at, kind)`` among ``refs`` of ``reference_ends``, by ``orphan_groups``.
+
+    ``missing`` if no record has the id, else ``deleted`` if a spell of it ended at or before
+    that time, else ``later``. A reference without a time is an orphan only if its id has no
+    record at all. A reference repeated under another ``ref_id`` is an orphan of its own.
+    Empty records make all references ``missing``; empty references give no rows.
     """
-    heavy = heavy_keys(refs.select("key"), ["key"], max_heavy, min_rows)
-    judged = _split(refs, records, heavy).withColumn("kind", _kind(F.col("at"), F.col("spells")))
-    return judged.where("kind is not null").select("ref_id", "side", "key", "at", "kind")
+    groups, heavy = orphan_groups(refs, records)
+    return _edges_of(refs, groups, records, heavy).select("ref_id", "side", "key", "at", "kind")
 
 
-def orphan_counts(refs: DataFrame, records: DataFrame, *, max_heavy: int = MAX_HEAVY, min_rows: int = 10_000) -> DataFrame:
-    """``(side, period, kind, n_refs, n_keys)``: orphans per referring column and month.
+def orphan_counts(refs: DataFrame, records: DataFrame) -> DataFrame:
+    """``(side, period, kind, n_refs, n_keys)``: orphans per referring column and month, by ``orphan_groups``.
 
-    References are first aggregated per key, side and month with their first and last time.
-    Keys heavy in references are checked by broadcast, the others by a shuffled join. A group
-    whose times all fall between two neighbouring changes of the record is decided whole;
-    the few others go through their times, of which a group keeps the different ones.
-    Times are truncated to months in UTC; a reference without a time has a null period.
+    Groups that are orphans whole are counted as they are; only mixed ones go back to their
+    references. Times are truncated to months in UTC; a reference without a time has a null
+    period.
     """
-    heavy = heavy_keys(refs.select("key"), ["key"], max_heavy, min_rows)
-    grouped = refs.groupBy("key", "side", F.date_trunc("month", "at").alias("period")).agg(
-        F.count(F.lit(1)).alias("n"), F.min("at").alias("first"), F.max("at").alias("last")
-    )
-    judged = _split(grouped, records, heavy)
-    changed = F.exists(
-        "spells",
-        lambda s: F.coalesce((s.since > F.col("first")) & (s.since <= F.col("last")), F.lit(False))
-        | F.coalesce((s.until > F.col("first")) & (s.until <= F.col("last")), F.lit(False)),
-    )
-    judged = judged.withColumn("mixed", F.coalesce(changed, F.lit(False)))
-    whole = judged.where("not mixed").select("side", "period", _kind(F.col("first"), F.col("spells")).alias("kind"), "n", "key")
-    mixed = judged.where("mixed").select("key", "side", "period", "spells")
-    rows = refs.withColumn("period", F.date_trunc("month", "at")).join(mixed, ["key", "side", "period"])
-    rows = rows.groupBy("key", "side", "period", _kind(F.col("at"), F.col("spells")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
-    both = whole.unionByName(rows.select("side", "period", "kind", "n", "key")).where("kind is not null")
-    per_key = both.groupBy("side", "period", "kind", "key").agg(F.sum("n").alias("n"))
-    return per_key.groupBy("side", "period", "kind").agg(F.sum("n").alias("n_refs"), F.count(F.lit(1)).alias("n_keys"))
+    groups, heavy = orphan_groups(refs, records)
+    whole = groups.where("kind <> 'mixed'").select("key", "side", "period", "kind", "n")
+    mixed = _edges_of(refs, groups.where("kind = 'mixed'"), records, heavy)
+    rows = mixed.groupBy("key", "side", "period", "kind").agg(F.count(F.lit(1)).alias("n"))
+    both = whole.unionByName(rows)
+    return both.groupBy("side", "period", "kind").agg(F.sum("n").alias("n_refs"), F.count(F.lit(1)).alias("n_keys"))

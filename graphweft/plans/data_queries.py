@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import current_names, instant_ms, label
-from ..operators.features import feature_long, feature_wide
+from ..operators.features import feature_long, feature_rows, feature_wide
 from ..operators.orphans import orphan_counts, orphan_references, reference_ends, spells
 from ..operators.skew import distinct_counts
 from ..sources.tables import table
@@ -50,21 +50,29 @@ def _observations(spark: SparkSession, d: str) -> DataFrame:
     return current_names(rows, "written", table(spark, d, "tool_aliases"), "tool_name")
 
 
-def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    """Number and latest observation of every session, tool and event that occur together."""
+def _listed(spark: SparkSession, d: str) -> list[tuple[str, str]]:
+    """The explicit type list: every current tool of ``tool_aliases`` (a table that does not grow) with every event of ``EVENTS``."""
+    names = table(spark, d, "tool_aliases").select("tool_name").where("tool_name is not null").distinct().orderBy("tool_name").collect()
+    return [(r.tool_name, e) for r in names for e in EVENTS]
+
+
+def _features(spark: SparkSession, d: str, listed: list[tuple[str, str]], last_ids: bool) -> DataFrame:
     long = feature_long(_observations(spark, d), "session_id", ["tool_name", "event"], "id", "instant")
-    return long.select("session_id", "tool_name", "event", "n_events", "last_id")
+    return feature_wide(long, "session_id", ["tool_name", "event"], listed, FEATURES_AS_OF_MS, last_ids=last_ids)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Number and latest observation of every session, tool and event that occur together, from the pivoted table."""
+    listed = _listed(spark, d)
+    return feature_rows(_features(spark, d, listed, True), "session_id", ["tool_name", "event"], listed)
 
 
 def p3_features(spark: SparkSession, d: str) -> DataFrame:
     """One row per session: count and age of each tool and event, and totals.
 
-    The explicit type list is every current tool of ``tool_aliases`` (a table that does not
-    grow) with every event of ``EVENTS``; ages are milliseconds before ``FEATURES_AS_OF_MS``.
+    Ages are milliseconds before ``FEATURES_AS_OF_MS``.
     """
-    tools = [r.tool_name for r in table(spark, d, "tool_aliases").select("tool_name").where("tool_name is not null").distinct().orderBy("tool_name").collect()]
-    long = feature_long(_observations(spark, d), "session_id", ["tool_name", "event"], "id", "instant")
-    return feature_wide(long, "session_id", ["tool_name", "event"], [f"{t}|{e}" for t in tools for e in EVENTS], FEATURES_AS_OF_MS)
+    return _features(spark, d, _listed(spark, d), False)
 
 
 def p5_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -115,7 +123,8 @@ once as (
   select session_id, tool_name, event, id, max(instant) as instant from obs
   where session_id is not null and tool_name is not null and event is not null and id is not null group by all),
 long as (
-  select session_id, tool_name, event, count(*) as n_events, arg_max(id, (instant, id)) as last_id from once group by all)
+  select session_id, tool_name, event, count(*) as n_events, arg_max(id, (instant, id)) as last_id, min(instant) as first_at, max(instant) as last_at
+  from once group by all)
 """
 
 _P5 = """
@@ -124,10 +133,22 @@ counts as (
   where source_id is not null and target_id is not null and type is not null group by all)
 """
 
+_EVENTS = ", ".join(f"'{e}'" for e in EVENTS)
+
 SQL = {
     "p2_found": f"with {_ENDS} select edge_id, side, kind from orphans",
     "p2_counts": f"with {_ENDS} select side, date_trunc('month', seen)::timestamp as period, kind, count(*) as n_refs, count(distinct key) as n_keys from orphans group by all",
     "p3_found": f"with {_OBS} select session_id, tool_name, event, n_events, last_id from long",
+    "p3_features": f"""
+with {_OBS},
+types as (select distinct tool_name || '|' || e as type from tool_aliases, (select unnest([{_EVENTS}]) as e) where tool_name is not null),
+cells as (
+  select session_id, tool_name || '|' || event as type, n_events as n, {FEATURES_AS_OF_MS} - last_at as age from long where tool_name || '|' || event in (from types)
+  union all select null, type, null, null from types),
+totals as (
+  select session_id, sum(n_events)::bigint as n_events, count(*) as n_types, min(first_at) as first_at, max(last_at) as last_at from long group by 1)
+select t.*, w.* exclude (session_id) from totals t
+join (select * from (pivot cells on type using coalesce(sum(n), 0)::bigint as n, max(age) as age group by session_id)) w on w.session_id is not distinct from t.session_id""",
     "p5_found": f"with {_P5} select target_id, type from counts where n_edges * 100 >= (select sum(n_edges) from counts)",
     "p5_counts": f"with {_P5} select target_id, type, n_edges, n_rows from counts",
 }

@@ -38,12 +38,11 @@ def test_current_names_and_instants(spark):
     assert sorted(map(tuple, got.collect()), key=str) == sorted([("Read", 1_740_000_000_000), ("Read", 1_740_000_000_123), ("new", None), (None, 5000)], key=str)
 
 
-@pytest.mark.parametrize("min_rows", [0, 10**9])
-def test_distinct_counts(spark, min_rows):
+def test_distinct_counts(spark):
     rnd = random.Random(3)
     data = [(rnd.choice(["hot"] * 6 + ["a", "b", None]), rnd.choice(["x", "y"]), rnd.choice([*range(40), None])) for _ in range(3000)]
     df = spark.createDataFrame(data, "k string, t string, item long").withColumn("n_items", F.lit("clash")).withColumn("__item", F.lit(1))
-    got = {(r.k, r.t): (r.n_items, r.n_rows) for r in skew.distinct_counts(df, ["k", "t"], "item", salts=8, max_heavy=5, min_rows=min_rows).collect()}
+    got = {(r.k, r.t): (r.n_items, r.n_rows) for r in skew.distinct_counts(df, ["k", "t"], "item", salts=8).collect()}
     n = Counter((k, t) for k, t, _ in data)
     items = Counter((k, t) for k, t, i in set(data) if i is not None)
     assert got == {key: (items[key], n[key]) for key in n}
@@ -52,7 +51,8 @@ def test_distinct_counts(spark, min_rows):
 
 def test_heavy_keys(spark):
     df = spark.createDataFrame([("h",)] * 50 + [(None,)] * 30 + [(str(k),) for k in range(20)], "k string")
-    assert sorted((str(r.k), r.n) for r in skew.heavy_keys(df, ["k"], max_heavy=10, min_rows=1)) == [("None", 30), ("h", 50)]
+    heavy = skew.heavy_keys(df, ["k"])
+    assert {r.k for r in df.where(skew.is_heavy(["k"], heavy)).distinct().collect()} == {"h", None}
     assert skew.heavy_keys(df.limit(0), ["k"]) == []
 
 
@@ -65,12 +65,13 @@ def brute_kind(key, at, records):
     return "deleted" if any(u is not None and u <= at for _, u in own) else "later"
 
 
-@pytest.mark.parametrize("min_rows", [0, 10**9])
-def test_orphans(spark, min_rows):
+@pytest.mark.parametrize("broadcast", [0, 10**6])
+def test_orphans(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(orphans, "BROADCAST_ROWS", broadcast)
     rnd = random.Random(5)
     day = lambda: rnd.choice([None, *(T(f"2025-0{m}-{d:02d}") for m in (3, 4, 5) for d in (1, 9, 20))])
-    records = [(rnd.choice("abcde"), day(), day()) for _ in range(12)] * 2 + [(None, None, None)]
-    edges = [(n, rnd.choice(["a", "b", "z", "hot", None, "param:q"]), rnd.choice(["hot"] * 4 + ["c", "d", "e", "field:x"]), day()) for n in range(400)]
+    records = [(rnd.choice(["a", "b", "c", "d", "e", "hot"]), day(), day()) for _ in range(14)] * 2 + [(None, None, None)]
+    edges = [(n, rnd.choice(["a", "b", "z", "hot", None, "param:q"]), rnd.choice(["hot"] * 14 + ["c", "d", "e", "field:x"]), day()) for n in range(400)]
     edges += edges[:30]
     frame = spark.createDataFrame(edges, "edge_id long, s string, t string, at timestamp").withColumn("key", F.lit(1)).withColumn("spells", F.lit(2))
     refs = orphans.reference_ends(frame, {"source": "s", "target": "t"}, "edge_id", "at")
@@ -81,13 +82,14 @@ def test_orphans(spark, min_rows):
         for side, key in (("source", s), ("target", t))
         if key and not key.startswith(("param:", "field:", "error:")) and (kind := brute_kind(key, at, records))
     )
-    found = orphans.orphan_references(refs, known, max_heavy=4, min_rows=min_rows)
+    assert orphans.orphan_groups(refs, known)[1]
+    found = orphans.orphan_references(refs, known)
     assert Counter((r.ref_id, r.side, r.kind) for r in found.collect()) == want
     month = {n: at and at.replace(day=1) for n, _, _, at in edges}
     counts = Counter()
     for (n, side, kind), k in want.items():
         counts[side, month[n], kind] += k
-    got = orphans.orphan_counts(refs, known, max_heavy=4, min_rows=min_rows)
+    got = orphans.orphan_counts(refs, known)
     assert {(r.side, r.period, r.kind): r.n_refs for r in got.collect()} == counts
     assert orphans.orphan_references(refs.limit(0), known).isEmpty()
     none = orphans.spells(spark.createDataFrame([], "id string, since timestamp, until timestamp"))
@@ -99,11 +101,14 @@ def test_features(spark):
     df = spark.createDataFrame(data, "entity string, tool string, event string, ident long, at long").withColumn("n_events", F.lit("clash"))
     long = features.feature_long(df, "entity", ["tool", "event"], "ident", "at")
     assert rows(long.select("entity", "tool", "event", "n_events", "last_id")) == [("s", "A", "x", 2, 2), ("s", "B", "y", 1, 3), ("t", "A", "y", 1, 4)]
-    wide = {r.entity: r.asDict() for r in features.feature_wide(long, "entity", ["tool", "event"], ["A|x", "A|y", "C|z"], 100).collect()}
-    assert wide["s"]["A|x__n"] == 2 and wide["s"]["A|x__age"] == 90 and wide["s"]["C|z__n"] == 0 and wide["s"]["C|z__age"] is None
-    assert wide["s"]["n_events"] == 3 and wide["s"]["n_types"] == 2 and wide["t"]["A|y__n"] == 1 and wide["t"]["A|y__age"] is None
+    listed = [("A", "x"), ("A", "y"), ("C", "z")]
+    back = features.feature_rows(features.feature_wide(long, "entity", ["tool", "event"], listed, 100, last_ids=True), "entity", ["tool", "event"], listed)
+    assert rows(back) == [("s", "A", "x", 2, 2), ("s", "B", "y", 1, 3), ("t", "A", "y", 1, 4)]
+    wide = {r.entity: r.asDict() for r in features.feature_wide(long, "entity", ["tool", "event"], listed, 100).collect()}
+    assert wide["s"]["A|x_n"] == 2 and wide["s"]["A|x_age"] == 90 and wide["s"]["C|z_n"] == 0 and wide["s"]["C|z_age"] is None
+    assert wide["s"]["n_events"] == 3 and wide["s"]["n_types"] == 2 and wide["t"]["A|y_n"] == 1 and wide["t"]["A|y_age"] is None
     empty = features.feature_long(df.limit(0), "entity", ["tool", "event"], "ident", "at")
-    assert features.feature_wide(empty, "entity", ["tool", "event"], ["A|x"], 1).isEmpty()
+    assert features.feature_wide(empty, "entity", ["tool", "event"], [("A", "x")], 1).isEmpty()
 
 
 def impact_edges(spark):
