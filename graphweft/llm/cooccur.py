@@ -11,8 +11,8 @@ from ..session import checkpointed
 
 #: An item in at least so many baskets of its group is frequent.
 FREQUENT = 48
-#: A group has no more frequent items than this; its further ones count as rare (exactly, too).
-MOST_FREQUENT = 512
+#: Frequent items of a group are divided into tiles of about so many, whose bit matrices meet in pairs.
+TILE_ITEMS = 512
 #: Baskets of a group that one bit matrix covers.
 BLOCK_BASKETS = 4096
 #: Rare items of a block that one task probes against its bit matrix.
@@ -23,24 +23,44 @@ RARE_AT_ONCE = 128
 _PAIRS = "grp string, item_a string, item_b string, n_ab long"
 
 
+def _matrix(rows: pd.DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Items, their rows as booleans per basket, and these packed into words."""
+    names, at = np.unique(rows["item"].to_numpy(dtype=object), return_inverse=True)
+    full = np.zeros((len(names), width), dtype=bool)
+    full[at, rows["col"].to_numpy()] = True
+    bits = np.packbits(full, axis=1)
+    return names, full, np.ascontiguousarray(np.pad(bits, ((0, 0), (0, -bits.shape[1] % 8)))).view(np.uint64)
+
+
 def _bit_pairs(rows: pd.DataFrame) -> pd.DataFrame:
-    """Counts pairs of one block: frequent pairs by popcounts, mixed ones by probing rare items' lists."""
-    heavy, rare = rows[rows["often"]], rows[~rows["often"]]
-    names, at = np.unique(heavy["item"].to_numpy(dtype=object), return_inverse=True)
-    full = np.zeros((len(names), int(rows["col"].max()) + 1), dtype=bool)
-    full[at, heavy["col"].to_numpy()] = True
+    """Counts pairs of one cell, two tiles of frequent items in one block of baskets.
+
+    Frequent pairs by popcounts of intersections. A cell of a tile with itself also counts
+    mixed pairs: the lists of rare items (tile -1) probe the matrix.
+    """
+    one, other, part = (int(rows[c].iloc[0]) for c in ("one", "other", "part"))
+    width = int(rows["col"].max()) + 1
+    names, full, bits = _matrix(rows[rows["tile"] == one], width)
     a: list[str] = []
     b: list[str] = []
     c: list[int] = []
-    if int(rows["part"].iloc[0]) == 0 and len(names) > 1:
-        bits = np.packbits(full, axis=1)
-        bits = np.ascontiguousarray(np.pad(bits, ((0, 0), (0, -bits.shape[1] % 8)))).view(np.uint64)
+    if one != other:
+        theirs, _, more = _matrix(rows[rows["tile"] == other], width)
+        for name, own in zip(names, bits):
+            both = np.bitwise_count(own & more).sum(axis=1, dtype=np.int64)
+            for k in np.flatnonzero(both):
+                x, y = (name, theirs[k]) if name < theirs[k] else (theirs[k], name)
+                a.append(x)
+                b.append(y)
+                c.append(int(both[k]))
+    elif part == 0:
         for i in range(len(names) - 1):
             both = np.bitwise_count(bits[i] & bits[i + 1 :]).sum(axis=1, dtype=np.int64)
             hit = np.flatnonzero(both)
             a += [names[i]] * len(hit)
             b += names[i + 1 + hit].tolist()
             c += both[hit].tolist()
+    rare = rows[rows["tile"] < 0]
     if len(rare) and len(names):
         for item, cols in rare.groupby("item", sort=False)["col"]:
             both = full[:, cols.to_numpy()].sum(axis=1)
@@ -55,7 +75,7 @@ def _bit_pairs(rows: pd.DataFrame) -> pd.DataFrame:
 
 def cooccurrence(
     df: DataFrame, group: str, basket: str, item: str, *, min_together: int = 1, min_lift: float = 0.0,
-    frequent: int = FREQUENT, most_frequent: int = MOST_FREQUENT, block_baskets: int = BLOCK_BASKETS,
+    frequent: int = FREQUENT, tile_items: int = TILE_ITEMS, block_baskets: int = BLOCK_BASKETS,
 ) -> DataFrame:
     """``(group, item_a, item_b, n_ab, n_a, n_b, n, lift)`` of items that occur in one basket.
 
@@ -69,12 +89,14 @@ def cooccurrence(
     Heavy-light decomposition, exact at any threshold. First, items are left out that no
     qualifying pair can hold: those in fewer than ``min_together`` baskets, and those in so
     many that even a partner found nowhere else would miss ``min_lift``. Of the rest, an item
-    in at least ``frequent`` baskets is frequent (the ``most_frequent`` of a group at most).
-
-    * frequent with frequent: baskets of a group are numbered and cut into blocks, a block's
-      items are rows of a dense bit matrix, and popcounts of the rows' intersections count;
-    * rare with frequent: each rare item's list of baskets in a block probes that matrix; a
-      block with many rare items is spread over several tasks, each with the matrix;
+    in at least ``frequent`` baskets is frequent, however many there are.
+
+    * frequent with frequent: baskets of a group are numbered and cut into blocks, its frequent
+      items by a hash into tiles of about ``tile_items``; a tile's items are rows of a dense
+      bit matrix over a block, and popcounts of the rows' intersections count, for each two
+      tiles in a cell of its own;
+    * rare with frequent: each rare item's list of baskets in a block probes each tile's matrix;
+      a block with many rare items is spread over several tasks, each with the matrix;
     * rare with rare: pairs of a basket are counted by hash, combined before the shuffle;
       a basket of more than ``RARE_AT_ONCE`` rare items is cut into tiles, so that no task
       gets all of a huge basket.
@@ -94,37 +116,41 @@ def cooccurrence(
         .join(sizes, "grp")
         .where(F.col("n_item") * F.lit(float(min_lift)) <= F.col("n"))
     )
-    place = F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("n_item"), "item"))
-    often = able.where(F.col("n_item") >= frequent).withColumn("place", place).where(F.col("place") <= most_frequent)
-    able = checkpointed(
-        able.join(often.select("grp", "item", F.lit(True).alias("hit")), ["grp", "item"], "left").select(
-            "grp", "item", "n_item", "n", F.coalesce("hit", F.lit(False)).alias("often")
-        )
-    )
-    kept = checkpointed(items.join(able.select("grp", "item", "often", "n"), ["grp", "item"]))
+    often = F.col("n_item") >= frequent
+    tiles = able.where(often).groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / tile_items).cast("long").alias("tiles"))
+    tile = F.when(often, F.pmod(F.xxhash64("item", F.lit("tile")), F.col("tiles"))).otherwise(F.lit(-1).cast("long"))
+    able = able.join(tiles, "grp", "left").select("grp", "item", "n_item", "n", F.coalesce("tiles", F.lit(0)).alias("tiles"), tile.alias("tile"))
+    able = checkpointed(able)
+    kept = checkpointed(items.join(able.select("grp", "item", "tile", "tiles", "n"), ["grp", "item"]))
 
     # Frequent items, and rare ones beside them, by blocks of baskets: the block and the column come from a hash of the basket, made dense within the block.
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / block_baskets)).cast("long")
     numbered = kept.withColumn("block", F.pmod(F.xxhash64("basket"), blocks))
     in_block = numbered.select("grp", "block", "basket").distinct()
     columns = in_block.withColumn("col", F.row_number().over(Window.partitionBy("grp", "block").orderBy("basket")) - 1)
-    placed = numbered.join(columns, ["grp", "block", "basket"]).select("grp", "block", "col", "item", "often")
-    rare_in_block = placed.where("not often").groupBy("grp", "block").agg(F.count(F.lit(1)).alias("rare"))
+    placed = numbered.join(columns, ["grp", "block", "basket"]).select("grp", "block", "col", "item", "tile", "tiles")
+    rare_in_block = placed.where("tile < 0").groupBy("grp", "block").agg(F.count(F.lit(1)).alias("rare"))
     parts = F.greatest(F.lit(1), F.ceil(F.coalesce("rare", F.lit(0)) / BLOCK_RARE)).cast("long")
     placed = placed.join(rare_in_block, ["grp", "block"], "left").withColumn("parts", parts)
-    with_parts = placed.where("often").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    probing = placed.where("not often").withColumn("part", F.pmod(F.xxhash64("item"), F.col("parts")))
+
+    # Cells: a frequent item meets each tile of its group, its own one in every part of the block's rare items; a rare item meets each tile in its part.
+    none = F.lit(0).cast("long")
+    every = F.sequence(none, F.col("tiles") - 1)
+    pair = F.transform(F.filter(every, lambda t: t != F.col("tile")), lambda t: F.struct(F.least(t, "tile").alias("one"), F.greatest(t, "tile").alias("other"), none.alias("part")))
+    itself = F.transform(F.sequence(none, F.col("parts") - 1), lambda p: F.struct(F.col("tile").alias("one"), F.col("tile").alias("other"), p.alias("part")))
+    probe = F.transform(every, lambda t: F.struct(t.alias("one"), t.alias("other"), F.pmod(F.xxhash64("item"), F.col("parts")).alias("part")))
+    cells = F.when(F.col("tile") < 0, probe).otherwise(F.concat(itself, pair))
     dense = (
-        with_parts.unionByName(probing)
-        .select("grp", "block", "part", "col", "item", "often")
-        .groupBy("grp", "block", "part")
+        placed.where("tiles > 0")
+        .select("grp", "block", "col", "item", "tile", F.inline(cells))
+        .groupBy("grp", "block", "one", "other", "part")
         .applyInPandas(_bit_pairs, _PAIRS)
     )
 
     # Rare pairs: per basket, in tiles of its rare items.
-    rare = kept.where("not often").select("grp", "basket", "item")
-    tiles = rare.groupBy("grp", "basket").agg(F.ceil(F.count(F.lit(1)) / RARE_AT_ONCE).cast("long").alias("tiles"))
-    tiled = rare.join(tiles, ["grp", "basket"]).withColumn("tile", F.pmod(F.xxhash64("item"), F.col("tiles")))
+    rare = kept.where("tile < 0").select("grp", "basket", "item")
+    cut_into = rare.groupBy("grp", "basket").agg(F.ceil(F.count(F.lit(1)) / RARE_AT_ONCE).cast("long").alias("tiles"))
+    tiled = rare.join(cut_into, ["grp", "basket"]).withColumn("tile", F.pmod(F.xxhash64("item"), F.col("tiles")))
     lists = tiled.groupBy("grp", "basket", "tile").agg(F.first("tiles").alias("tiles"), F.sort_array(F.collect_list("item")).alias("items"))
     within = lists.where(F.size("items") > 1).select("grp", F.posexplode("items").alias("at", "x"), "items").select(
         "grp", "x", F.explode(F.slice("items", F.col("at") + 2, F.size("items"))).alias("y")

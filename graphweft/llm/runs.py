@@ -7,47 +7,26 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A sequence with more events than this is cut into pieces of about so many.
-PIECE_EVENTS = 1_000_000
-#: No more sequences than this are cut; any other then holds at most one part in MOST_CUT of all events.
-MOST_CUT = 4096
-
-
-def _pieces(rows: DataFrame, piece_events: int) -> tuple[DataFrame, bool]:
-    """``rows`` with ``__cut`` and ``__piece``: the place in time of the row's piece of its sequence."""
-    sizes = rows.groupBy("seq").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("t0"), F.max("at").alias("t1"))
-    long = sizes.where(F.col("n") > piece_events).orderBy(F.desc("n"), "seq").limit(MOST_CUT).collect()
-    if not long:
-        return rows.select("*", F.lit(False).alias("__cut"), F.lit(0).cast("long").alias("__piece")), False
-    widths = [(r.seq, r.t0, max(1, -(-(r.t1 - r.t0 + 1) // -(-r.n // piece_events)))) for r in long]
-    cuts = rows.sparkSession.createDataFrame(widths, rows.select("seq").schema.add("t0", "long").add("width", "long"))
-    joined = rows.join(F.broadcast(cuts), "seq", "left")
-    piece = F.floor((F.col("at") - F.col("t0")) / F.col("width"))
-    return joined.select("seq", "at", "id", "like", F.col("t0").isNotNull().alias("__cut"), F.coalesce(piece, F.lit(0)).alias("__piece")), True
-
 
 def _runs(rows: DataFrame) -> DataFrame:
-    """Runs within ``seq`` and piece; rows of one sequence and piece are sorted in one task."""
-    piece = Window.partitionBy("seq", "__cut", "__piece")
-    order = piece.orderBy("at", "id")
-    before = F.lag(F.struct("id", "like")).over(order)
-    seen = (
-        rows.repartition("seq", "__cut", "__piece")
-        .withColumn("__before", before)
-        .withColumn("__copy", F.coalesce(F.col("__before.id") == F.col("id"), F.lit(False)))
-        .withColumn("__new", F.col("__before").isNull() | (~F.col("__copy") & ~F.col("__before.like").eqNullSafe(F.col("like"))))
-        .withColumn("__run", F.sum(F.col("__new").cast("long")).over(order))
+    """Runs within a piece of a sequence."""
+    order = Window.partitionBy("piece", "seq").orderBy("at", "id")
+    flagged = (
+        rows.withColumn("before", F.lag(F.struct("id", "like")).over(order))
+        .withColumn("copy", F.coalesce(F.col("before.id") == F.col("id"), F.lit(False)))
+        .withColumn("new", F.col("before").isNull() | (~F.col("copy") & ~F.col("before.like").eqNullSafe(F.col("like"))))
+        .withColumn("run", F.sum(F.col("new").cast("long")).over(order))
     )
-    return seen.groupBy("seq", "__cut", "__piece", "__run").agg(
+    return flagged.groupBy("piece", "seq", "run").agg(
         F.min(F.struct("at", "id")).alias("first"),
         F.max(F.struct("at", "id")).alias("last"),
-        F.sum((~F.col("__copy")).cast("long")).alias("n"),
+        F.sum((~F.col("copy")).cast("long")).alias("n"),
         F.first("like").alias("like"),
     )
 
 
 def collapse_runs(
-    events: DataFrame, sequence: str, at: str, ident: str, like: Sequence[str], *, piece_events: int = PIECE_EVENTS
+    events: DataFrame, sequence: str, at: str, ident: str, like: Sequence[str], *, pieces: int | None = None
 ) -> DataFrame:
     """One row per longest run of consecutive alike events of a sequence.
 
@@ -61,10 +40,12 @@ def collapse_runs(
     sequence, ``at`` or ``ident`` have no place in an order and are left out; an empty table
     gives no rows. Other columns, whatever their names, are not looked at.
 
-    There is one shuffle. Sequences of more than ``piece_events`` events are cut by time into
-    pieces that are worked on apart; only the first and last run of each piece are then
-    brought together, where a run may go on from one piece to the next. (Equal instants stay
-    in one piece, so copies do.)
+    All events are ranged by sequence, ``at`` and ``ident`` into ``pieces`` (by default as many
+    as a shuffle has tasks) of about equal size, by quantiles that Spark samples in one more
+    pass over the input: a sequence of any length, a burst at one instant or an outlier in time
+    makes no piece larger. Each piece then goes to a task of its own in a second shuffle, which
+    tells Spark that the windows need no other. Fewer sequences than pieces lie in more than one
+    piece; only their first and last runs there are brought together afterwards.
     """
     rows = events.where(F.col(sequence).isNotNull() & F.col(at).isNotNull() & F.col(ident).isNotNull()).select(
         F.col(sequence).alias("seq"),
@@ -72,29 +53,27 @@ def collapse_runs(
         F.col(ident).alias("id"),
         F.struct(*(F.col(c).alias(f"k{k}") for k, c in enumerate(like))).alias("like"),
     )
-    pieces, cut = _pieces(rows, piece_events)
-    found = _runs(pieces)
-    if cut:
-        ends = Window.partitionBy("seq", "__cut", "__piece")
-        outer = F.col("__cut") & ((F.col("__run") == 1) | (F.col("__run") == F.max("__run").over(ends)))
-        marked = found.withColumn("__outer", outer)
-        order = Window.partitionBy("seq").orderBy("__piece", "__run")
-        joins = (
-            marked.where("__outer")
-            .withColumn("__before", F.lag(F.struct("__piece", "like")).over(order))
-            .withColumn(
-                "__new",
-                F.col("__before").isNull()
-                | (F.col("__before.__piece") == F.col("__piece"))
-                | ~F.col("__before.like").eqNullSafe(F.col("like")),
-            )
-            .withColumn("__joined", F.sum(F.col("__new").cast("long")).over(order))
-            .groupBy("seq", "__joined")
-            .agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"), F.first("like").alias("like"))
-        )
-        columns = ["seq", "first", "last", "n", "like"]
-        found = marked.where("not __outer").select(columns).unionByName(joins.select(columns))
-    return found.select(
+    count = pieces or int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.repartitionByRange(count, "seq", "at", "id").withColumn("piece", F.spark_partition_id()).repartitionById(count, "piece")
+    # Sequences in more than one piece, fewer than pieces. The hash is there to need all columns, so that Spark sees the same shuffle and uses it again.
+    ends = ranged.groupBy("piece").agg(F.array(F.min("seq"), F.max("seq")).alias("ends"), F.bit_xor(F.xxhash64("like")).alias("all")).where(F.col("all").isNotNull())
+    cut = ends.select("piece", F.explode(F.array_distinct("ends")).alias("seq")).groupBy("seq").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("seq")
+    inner = _runs(ranged.join(F.broadcast(cut), "seq", "left_anti"))
+    parted = _runs(ranged.join(F.broadcast(cut), "seq", "left_semi"))
+    outer = (F.col("run") == 1) | (F.col("run") == F.max("run").over(Window.partitionBy("piece", "seq")))
+    across = Window.partitionBy("seq").orderBy("piece", "run")
+    goes_on = (F.col("before.piece") < F.col("piece")) & F.col("before.like").eqNullSafe(F.col("like"))
+    marked = parted.withColumn("outer", outer)
+    joined = (
+        marked.where("outer")
+        .withColumn("before", F.lag(F.struct("piece", "like")).over(across))
+        .withColumn("joined", F.sum((~F.coalesce(goes_on, F.lit(False))).cast("long")).over(across))
+        .groupBy("seq", "joined")
+        .agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"), F.first("like").alias("like"))
+    )
+    columns = ["seq", "first", "last", "n", "like"]
+    whole = inner.select(columns).unionByName(marked.where("not outer").select(columns)).unionByName(joined.select(columns))
+    return whole.select(
         F.col("seq").alias(sequence),
         F.col("first.id").alias("first_id"),
         F.col("last.id").alias("last_id"),

@@ -33,14 +33,17 @@ def brute_runs(data):
     return sorted((s, r[0][1], r[-1][1], len(r), r[-1][0] - r[0][0]) for s, r in out)
 
 
-@pytest.mark.parametrize("piece", [10**6, 7, 1])
+@pytest.mark.parametrize("piece", [1, 7, 60])
 def test_runs(spark, piece):
     rnd = random.Random(piece)
     data = [(rnd.choice(["s", "s", "t", None]), rnd.randrange(60), k, rnd.choice(["A", "B", None]), rnd.choice(["x", None])) for k in range(300)]
     data += [("u", 5, 1000 + k, "A", "x") for k in range(20)] + [("v", k, 2000 + k, "A", None) for k in range(40)] + [("s", None, 9, "A", "x"), ("s", 1, None, "A", "x")]
     df = spark.createDataFrame(data + data[:50], "s string, at long, id long, a string, b string").withColumn("seq", F.lit("clash")).withColumn("n", F.lit(1))
-    got = runs.collapse_runs(df, "s", "at", "id", ["a", "b"], piece_events=piece)
+    got = runs.collapse_runs(df, "s", "at", "id", ["a", "b"], pieces=piece)
     assert sorted((r.s, r.first_id, r.last_id, r.n_events, r.duration) for r in got.collect()) == brute_runs(data)
+    late = spark.createDataFrame([("s", 0, 0)] + [("s", 10**9 + k // 50, k + 1) for k in range(5000)], "s string, at long, id long")
+    sizes = late.repartitionByRange(10, "s", "at", "id").groupBy(F.spark_partition_id()).count().toPandas()["count"]
+    assert sizes.max() < 1500 and runs.collapse_runs(late, "s", "at", "id", [], pieces=10).select("n_events").collect() == [(5001,)]
     assert runs.collapse_runs(df.limit(0), "s", "at", "id", ["a", "b"]).isEmpty()
 
 
@@ -58,17 +61,17 @@ def brute_pairs(data):
     return {(g, a, b): (c, single[g, a], single[g, b], len(sizes[g])) for (g, a, b), c in pair.items()}
 
 
-@pytest.mark.parametrize("frequent, most, block", [(4, 3, 8), (1, 500, 4096), (10**6, 5, 10)])
-def test_cooccurrence(spark, monkeypatch, frequent, most, block):
+@pytest.mark.parametrize("frequent, tile, block", [(4, 3, 8), (1, 500, 4096), (1, 4, 4096), (10**6, 5, 10)])
+def test_cooccurrence(spark, monkeypatch, frequent, tile, block):
     monkeypatch.setattr(cooccur, "RARE_AT_ONCE", 3)
     monkeypatch.setattr(cooccur, "BLOCK_RARE", 5)
     rnd = random.Random(frequent)
     data = [(rnd.choice(["g", "h", None]), rnd.choice([*range(30), None]), rnd.choice([*"aaabbbccdefghijé", None])) for _ in range(600)]
     data += [("g", 99, chr(0x61 + k)) for k in range(26)] + [("h", 77, None)]
     df = spark.createDataFrame(data, "repo string, commit long, item string").withColumn("grp", F.lit("clash")).withColumn("n", F.lit(1))
-    got = cooccur.cooccurrence(df, "repo", "commit", "item", frequent=frequent, most_frequent=most, block_baskets=block)
+    got = cooccur.cooccurrence(df, "repo", "commit", "item", frequent=frequent, tile_items=tile, block_baskets=block)
     assert {(r.repo, r.item_a, r.item_b): (r.n_ab, r.n_a, r.n_b, r.n) for r in got.collect()} == brute_pairs(data)
-    few = cooccur.cooccurrence(df, "repo", "commit", "item", min_together=3, min_lift=1.2, frequent=frequent, most_frequent=most, block_baskets=block)
+    few = cooccur.cooccurrence(df, "repo", "commit", "item", min_together=3, min_lift=1.2, frequent=frequent, tile_items=tile, block_baskets=block)
     want = {k for k, (c, a, b, n) in brute_pairs(data).items() if c >= 3 and c * n >= 1.2 * a * b}
     assert {(r.repo, r.item_a, r.item_b) for r in few.collect()} == want
     assert cooccur.cooccurrence(df.limit(0), "repo", "commit", "item").isEmpty()
@@ -84,6 +87,12 @@ def test_top_n(spark):
             by[g].append((-s, i))
     want = {(g, p + 1, i) for g, xs in by.items() for p, (_, i) in enumerate(sorted(xs)[:5])}
     assert {(r.g, r.pos, r.id) for r in topn.top_n(df, "g", "score", "id", 5).collect()} == want
+    for most in (0, 1):
+        assert {(r.g, r.pos, r.id) for r in topn.top_n(df, "g", "score", "id", 5, broadcast_rows=most).collect()} == want
+    slim = df.select(F.col("g").alias("grp"), "score", F.col("id").alias("item")).dropna()
+    least = {g: sorted(xs)[4] for g, xs in by.items() if len(xs) >= 5}
+    for r in topn.local_bounds(slim, 5, most=20).collect():
+        assert r.score != r.score or (-r.score, r.item) >= least[r.grp]
     assert topn.top_n(df.limit(0), "g", "score", "id", 5).isEmpty()
 
 
