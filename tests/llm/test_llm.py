@@ -146,6 +146,40 @@ def test_mixing(spark, coder):
     assert all(0 < r.repeats <= caps[r.source] and r.tokens > 0 for r in taken) and {r.source for r in taken} <= set(caps)
     assert mixing.mix(df.limit(0), "doc_id", "text", "source", targets)[0].isEmpty()
     assert mixing.mix(df, "doc_id", "text", "source", targets.limit(0))[0].isEmpty()
+    many = spark.range(mixing.MOST_SOURCES + 1).selectExpr("string(id) as source", "0.1d as target_share", "1 as max_repeats")
+    with pytest.raises(ValueError):
+        mixing.mix(df, "doc_id", "text", "source", many)
+
+
+def test_fit_is_not_the_closed_form(spark, coder):
+    """Most texts have no label and look like neither domain: rates of target / held miss, the fit does not, and rounding keeps it."""
+    rnd = random.Random(8)
+    words = {"a": ["def", "return"], "b": ["today", "said"], "c": ["quark", "boson"]}
+    data = [(k, " ".join(rnd.choices(words["ab"[k % 2]], k=30)), "ab"[k % 2]) for k in range(400)]
+    data += [(1000 + k, " ".join(rnd.choices(words["c"], k=30)), None) for k in range(800)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("a", 0.8, 2), ("b", 0.2, 2)], "source string, target_share double, max_repeats int")
+    known = df.join(spark.createDataFrame([("a", 0), ("b", 1)], "source string, domain int"), "source", "left").withColumnRenamed("doc_id", "doc")
+    model = mixing.fit_classifier(known, 2, str(VOCABULARY))
+    member = mixing.memberships(known, model, str(VOCABULARY), 0.01).toPandas()
+    p, size = np.stack(member["p"]), member["size"].to_numpy(float)
+    total = 12_000
+    target, held = np.array([0.8, 0.2]) * total, size @ p
+    closed = p @ (target / held)
+    missed = abs(((closed * size) @ p)[0] / (closed @ size) - 0.8)
+    mixture, shares = mixing.mix(df, "doc_id", "text", "source", targets, total_tokens=total)
+    got = {r.source: r for r in shares.collect()}
+    assert missed > 0.05 and abs(got["a"].expected_share - 0.8) < 0.01
+    assert abs(sum(r.tokens * r.repeats for r in mixture.collect()) - total) < 0.02 * total
+
+
+def test_rounding_keeps_the_rates(spark):
+    rnd = random.Random(6)
+    data = [(k, k % 3, rnd.choice([3, 40, 41, 900]), rnd.choice([0.2, 1.4, 2.0])) for k in range(600)] + [(700, 5, 100, 0.3)]
+    got = mixing.rounded(spark.createDataFrame(data, "doc long, stratum int, size long, rate double")).collect()
+    assert len(got) == len(data) and all(abs(r.repeats - r.rate) < 1 for r in got)
+    for k in range(3):
+        assert abs(sum(r["size"] * (r.repeats - r.rate) for r in got if r.stratum == k)) < 40
 
 
 def test_rates_reach_soft_targets():
