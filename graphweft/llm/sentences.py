@@ -2,39 +2,43 @@
 
 from __future__ import annotations
 
+import random
 import re
-from collections import defaultdict
+import unicodedata
+from bisect import bisect_left
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import accumulate
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Documents that the tagger is fitted on, at most, and the longest text among them. Only the fit is bounded; every document is tagged whole.
-TRAIN_DOCUMENTS = 1500
+TRAIN_DOCUMENTS = 4000
 TRAIN_CHARS = 20_000
-PASSES = 6
-#: Score by which each true tag has to win in the fit.
+#: Rounds of the fit of the layout model and of the chain.
+ROUNDS, PASSES = 300, 4
+#: A place is a boundary in the first labels if it is at least this likely, against a place between two blocks.
+LIKE_BLOCKS = 0.1
+#: Penalty on the weights of the layout model, and places that a feature has to be seen at for a weight of its own there.
+PENALTY, SEEN = 1e-4, 8
+#: Score by which each true tag has to win in the fit of the chain.
 MARGIN = 3.0
-#: How much slower the fit learns moves between tags than features, which say more.
-MOVE_STEP = 0.1
-
-#: Abbreviations that do not end a sentence by themselves.
-INSIDE_WORDS = frozenset(
-    "sec secs approx cf vs i.e e.g eg ie fig figs st dr mr mrs prof max min env art sect pp vol incl resp dept "  # en, fr
-    "vgl bzw ca abb abschn z.b d.h u.a evtl ggf inkl zzgl kap "  # de
-    "aprox núm num secc pág págs sr sra dra ej p.ej "  # es
-    "см рис напр ок тыс млн млрд стр гл ул им п "  # ru
-    "βλ ενότ δηλ π.χ σελ εικ κεφ αρ ".split()
-)
-#: Abbreviations that may also end one, which a following word in lower case rules out.
-OPEN_WORDS = frozenset("etc usw a.m p.m a.c inc ltd co jr κ.λπ κλπ т.д т.п др ff al".split())
-#: Abbreviations only before a number.
-NUMBER_WORDS = frozenset("no nos nr n".split())
-#: German words before an ordinal.
-ORDINAL_WORDS = frozenset("im am beim vom zum der dem den des das die ab bis seit".split())
+#: How much slower the chain learns moves between tags than features, which say more.
+MOVE_STEP = 0.002
+#: Blocks of its script that a block is joined to.
+JOINED = 2
+#: Share of the chains in which the fit hides the words, so that it also learns what forms of unknown words say.
+HIDDEN = 0.2
+#: Weight of the layout model in the weights that the fit of the chain starts from.
+START = 2.0
+#: What it starts from besides: forms of abbreviated names and titles before a capital, of which a corpus may hold none.
+PRIOR = {"brief=initial": -40.0, "brief=initials": -40.0, "brief=title": -40.0}
+#: Characters on each side that the features of a place look at, besides its word.
+LOOK = 64
 
 OPENERS = {"(": ")", "[": "]", "{": "}", "“": "”", "„": "“", "«": "»", "「": "」", "『": "』", "（": "）", "【": "】", "《": "》", "〈": "〉", "‹": "›"}
 BRACKETS = frozenset("([{（【")
@@ -55,20 +59,21 @@ _CLOSING = re.compile(r"(?:[\xa0 ]?»|[\"”“)\]}」』）】》〉›’'])
 _GREEK = re.compile(r"[Ͱ-Ͽἀ-῿]")
 _NO_MARKS = re.compile(rf"[{UNPUNCTUATED}]")
 _WIDE = re.compile(rf"[{WIDE}]")
-_WORD = re.compile(rf"[^\s(\[{{“„«「『（\"'‘’,]*\Z")
+_TOKEN = re.compile(r"(?:[^\s(\[{“„«「『（\"'‘’,]|(?<=\d),(?=\d))+")
+_NUMBER = re.compile(r"\d[\d.,:]*")
+_LEAD = re.compile(rf"\A[{INVISIBLE}]+")
+_FOREIGN = re.compile(r"[^\W\d_a-zA-ZÀ-ɏ]")
 _RUN = re.compile(r"\S+")
-_NEXT = re.compile(r"\S{1,40}")
-
 
 @dataclass
-class Candidate:
+class Place:
     """A character after which a unit may end: ``end`` is the place after closing marks, ``start`` where the next visible one begins."""
 
     end: int
     start: int
-    mark: str
     features: list[str]
-    silver: bool
+    #: Which of the features name words.
+    words: int
 
 
 def lines(text: str) -> Iterator[tuple[int, int]]:
@@ -156,23 +161,57 @@ def _shape(word: str) -> str:
 
 
 def _known(word: str) -> str:
-    """A word as a feature: lower case, digits alike, names and long words apart."""
+    """A word as a feature: lower case, digits alike, names and what is no word apart."""
     if re.search(r"[a-z][A-Z]|\.\w{2,}$", word):
         return "<name>"
-    return re.sub(r"\d", "0", word.lower())[-12:]
+    return re.sub(r"\d", "0", word.lower()) if len(word) <= LOOK else "<long>"
+
+
+def _form(word: str) -> str:
+    """The form of a word, whatever word it is: script, case and length."""
+    if not word:
+        return "none"
+    if word.isdigit():
+        return f"digits{min(len(word), 3)}"
+    if _NUMBER.fullmatch(word):
+        return "number"
+    if re.fullmatch(r"(\w{1,2}\.)+\w{1,2}", word):
+        return "initials"
+    if re.search(r"[a-z][A-Z]|\d|[._]\w", word[:LOOK]):
+        return "name"
+    script = "marked" if _NO_MARKS.match(word) else "wide" if _WIDE.match(word) else "cased" if word[0].upper() != word[0].lower() else "uncased"
+    case = "upper" if word.isupper() else "title" if word[:1].isupper() else "lower"
+    return f"{script},{case},{min(len(word), 6)},{'vowel' if re.search('[aeiouyаеиоуыэюяαεηιουωáéíóúàèêäöü]', word.lower()) else 'none'}"
+
 
+def _side(c: str) -> str:
+    """What a character beside a blank is."""
+    return "marked" if _NO_MARKS.match(c) else "digit" if c.isdigit() else "letter" if c.isalpha() else "other"
 
-def candidates(block: str) -> list[Candidate]:
-    """The open places of a block in order, each with features and the label of the silver rules."""
-    pairs = _pairs(block)
-    opened = {b: a for a, b in pairs}
+
+def _blank_features(left: str, right: str) -> tuple[list[str], int]:
+    """Features of a blank between two runs of visible characters, without their marks."""
+    bare = left.rstrip("!?.…")
+    number = bool(re.fullmatch(r"[\d.,%:]+", bare))
+    sides = f"{'number' if number else _side(bare[-1:] or '-')},{_side(right[:1])}"
+    words = [re.sub(r"\d", "0", f) for f in (f"end={bare[-3:]}", f"after={right[:3].lower()}")]
+    return [*words, "blank", f"sides={sides}", f"number={number},{bool(_NUMBER.fullmatch(right))}", f"number,next={number},{_side(right[:1])}", f"marked={bool(_NO_MARKS.search(bare))},{bool(_NO_MARKS.search(right[:LOOK]))}"], len(words)
+
+
+def places(block: str, blanks: bool = False) -> list[Place]:
+    """The open places of a block in order, with their features; all other characters are inside.
+
+    Open are characters with an end mark and, beside letters of scripts without marks (with
+    ``blanks`` everywhere), those before a blank.
+    """
+    opened = {b: a for a, b in _pairs(block)}
     marker = _ITEM.match(block)
     begin = marker.end() if marker else 0
     spots: list[tuple[int, int, str]] = []
     for m in _MARKS.finditer(block, begin):
         a, b = m.span()
         marks = m.group()
-        if set(marks) <= {";", ";"}:
+        if set(marks) <= {";", ";"}:
             if not _GREEK.search(block, spots[-1][1] if spots else begin, a):
                 continue
         elif ";" in marks:
@@ -186,116 +225,106 @@ def candidates(block: str) -> list[Candidate]:
             if not free or after in ",，、:：;；)":
                 continue
         spots.append((b, end, marks))
-    if _NO_MARKS.search(block):
+    runs: dict[int, tuple[str, str]] = {}
+    if blanks or _NO_MARKS.search(block):
         ends = {end for _, end, _ in spots}
         left = None
         for m in _RUN.finditer(block, begin):
-            if left and left.end() not in ends and (_NO_MARKS.search(left.group()) or _NO_MARKS.search(m.group())):
+            if left and left.end() not in ends and (blanks or _NO_MARKS.search(left.group()) or _NO_MARKS.search(m.group())):
                 spots.append((left.end(), left.end(), " "))
+                runs[left.end()] = (left.group(), m.group())
             left = m
         spots.sort(key=lambda s: s[1])
+    if not spots:
+        return []
     depth = [0] * (len(block) + 1)
-    for a, b in pairs:
+    for b, a in opened.items():
         depth[a + 1] += 1
         depth[b] -= 1
     depth = list(accumulate(depth))
     last = trimmed(block, 0, len(block))[1]
-    return [_candidate(block, begin, depth, opened, *spot) for spot in spots if spot[1] < last]
+    tokens = [m.span() for m in _TOKEN.finditer(block, begin)]
+    starts = [a for a, _ in tokens]
+    return [_place(block, begin, depth, opened, runs, tokens, starts, *spot) for spot in spots if spot[1] < last]
 
 
-def _candidate(block: str, begin: int, depth: list[int], opened: dict[int, int], at: int, end: int, marks: str) -> Candidate:
+def _place(
+    block: str, begin: int, depth: list[int], opened: dict[int, int], runs: dict[int, tuple[str, str]],
+    tokens: list[tuple[int, int]], starts: list[int], at: int, end: int, marks: str,
+) -> Place:
     start = _VISIBLE.search(block, end).start()
-    gap = block[end:start]
-    following = _NEXT.match(block, start).group()
+    if marks == " ":
+        features, words = _blank_features(*runs[end])
+        return Place(end, start, features + [f"inside={depth[end - 1] > 0}"], words)
+    following = _RUN.match(block, start, start + LOOK).group()
     shape = _shape(following)
-    kind = "dots" if marks in ("...", "…", "……", "..") else "blank" if marks == " " else "stop" if set(marks) <= {"."} else "strong"
-    mark_at = at - len(marks) if kind != "blank" else at
-    before = block[max(begin, mark_at - 40) : mark_at]
-    word = _WORD.search(before).group()
-    earlier = before[: len(before) - len(word)].rstrip()
-    previous = _WORD.search(earlier).group().rstrip(".")
-    known = _known(word)
+    kind = "dots" if marks in ("...", "…", "……", "..") else "stop" if set(marks) <= {"."} else "strong"
+    mark_at = at - len(marks)
+    k = bisect_left(starts, mark_at) - 1
+    word, previous = "", ""
+    if k >= 0:
+        if tokens[k][1] >= mark_at:
+            word, k = _LEAD.sub("", block[tokens[k][0] : mark_at]), k - 1
+        if k >= 0 and len(word) <= LOOK:
+            previous = block[tokens[k][0] : min(tokens[k][1], tokens[k][0] + LOOK)].rstrip(".")
+    known, form = _known(word), _form(word)
     inside = depth[end - 1] > 0
     closed = [opened[k] for k in range(at, end) if k in opened]
-    quote, context = "", ""
+    quote = context = ""
     if closed:
         first = min(closed)
         quote = "bracket" if block[first] in BRACKETS else "quote"
-        lead = block[max(begin, first - 40) : first].rstrip()
+        lead = block[max(begin, first - LOOK) : first].rstrip()
         context = "colon" if lead[-1:] in (":", "：") else "begin" if not lead or _MARKS.match(lead[-1]) or lead[-1] in CLOSERS else "middle"
-    spaced = "blank" if gap.strip("​﻿") or gap else "none"
-    letters = len(word) == 1 and word.isalpha()
-    pair = f"{previous.lower()}.{word.lower()}" if letters and len(previous) == 1 and previous.isalpha() else ""
-    parted = bool(re.match(r"\w{1,2}\.", following)) and letters
-
-    # Silver label, from the fixed values and the layout of quotes.
-    silver = True
-    lower = word.lower()
-    if inside:
-        silver = False
-    elif kind == "dots":
-        silver = not (word == "" and shape == "lower")
-    elif closed:
-        if quote == "bracket":
-            silver = context == "begin" or shape != "lower"
-        elif context != "colon":
-            silver = shape in ("upper", "digit") and spaced == "blank"
-            if context == "begin":
-                silver = silver and shape == "upper" and block[end - 1] not in "“"
-    elif kind == "stop":
+    spaced = "blank" if end < start else "none"
+    letter = len(word) == 1 and word.isalpha()
+    pair = letter and len(previous) == 1 and previous.isalpha()
+    parted = letter and bool(re.match(r"\w{1,2}\.", following))
+    base = f"{kind},{shape}" if not closed else f"{quote},{context},{shape},{spaced}"
+    words = []
+    if not closed and not inside:
+        words += [f"word={known},{kind}", f"word,next={known},{shape},{kind}"]
+        if word.isdigit():
+            words.append(f"number={_known(previous)},{shape}")
         if pair:
-            silver = pair in OPEN_WORDS and shape != "lower"
-        elif parted or letters and word.isupper() and word.isascii():
-            silver = False
-        elif lower in NUMBER_WORDS:
-            silver = shape != "digit"
-        elif lower in INSIDE_WORDS or lower == "ex":
-            silver = False
-        elif lower in OPEN_WORDS:
-            silver = shape != "lower"
-        elif word.isdigit() and previous.lower() in ORDINAL_WORDS and shape in ("upper", "lower"):
-            silver = False
-        elif shape == "lower":
-            silver = False
-
-    features = [
-        "bias",
-        f"kind={kind}",
-        f"kind,next={kind},{shape}",
-        f"word={known},{kind}",
-        f"word,next={known},{shape},{kind}",
-        f"inside={inside}",
-        f"quote={quote},{context}",
-        f"quote,next={quote},{context},{shape},{spaced}",
-        f"gap={kind},{spaced}",
-        f"letter={letters},{parted},{shape}",
-        f"after={following[:3].lower() if kind == 'blank' or shape == 'lower' else ''}",
-    ]
-    if inside:
-        features.append(f"inside,kind={kind}")
-    if pair:
-        features += [f"pair={pair}", f"pair,next={pair},{shape}"]
-    if word.isdigit():
-        features.append(f"number={_known(previous)},{shape}")
+            words += [f"pair={previous.lower()}.{known}", f"pair,next={previous.lower()}.{known},{shape}"]
+    if shape in ("lower", "uncased"):
+        words.append(re.sub(r"\d", "0", f"after={following[:3].lower()},{quote}"))
+    features = [*words, "mark", f"marks={marks[:3]},{spaced}", f"base={base}", f"inside={inside},{kind}", f"letter={letter},{pair},{parted},{shape}", f"spaced={spaced},{kind}"]
+    brief = "initial" if letter and word.isupper() else "initials" if form == "initials" and word[0].isupper() else "title" if len(word) <= 3 and word.istitle() else ""
+    if brief and kind == "stop" and shape == "upper":
+        features.append(f"brief={brief}")
+    if not closed and not inside:
+        features += [f"form={form},{kind}", f"form,next={form},{shape},{kind}"]
     if kind == "dots":
         features.append(f"dots={word == ''},{shape}")
-    if kind == "blank":
-        features += [f"end={word[-3:]}", f"sides={bool(_NO_MARKS.search(word))},{bool(_NO_MARKS.search(following))}"]
-    return Candidate(end, start, marks, features, silver)
+    return Place(end, start, features, len(words))
+
+
+def _near(one: Place, other: Place) -> int:
+    """How far apart two places are, in four classes."""
+    gap = other.end - one.end
+    return 0 if gap <= 4 else 1 if gap <= 12 else 2 if gap <= 40 else 3
 
 
 class Tagger:
-    """A linear chain over the open places of a block, with the tags inside (0) and boundary (1)."""
+    """A linear chain over the characters of a block, with the tags inside (0) and boundary (1).
+
+    Characters that are no open place have no features and are inside, so the best path runs
+    over them in one step from place to place; a move has a weight by its two tags and by how
+    many characters lie between.
+    """
 
     def __init__(self) -> None:
         self.weights: dict[str, float] = {}
-        #: Of a tag after a tag.
-        self.moves: dict[tuple[int, int], float] = {}
+        #: Of a tag after a tag at a distance.
+        self.moves: dict[tuple[int, int, int], float] = {}
 
-    def decode(self, chain: list[list[str]], against: list[int] | None = None) -> list[int]:
+    def decode(self, chain: list[list[str]], near: list[int], against: list[int] | None = None) -> list[int]:
         """The tags of greatest total score (Viterbi). A feature's weight speaks for boundary and against inside.
 
-        ``against``: true tags that must win by ``MARGIN`` each, as in the fit.
+        ``near``: distance class of each two neighbours. ``against``: true tags that must win
+        by ``MARGIN`` each, as in the fit.
         """
         if not chain:
             return []
@@ -305,10 +334,10 @@ class Tagger:
             scores = [s - MARGIN if truth else s + MARGIN for s, truth in zip(scores, against)]
         best = [-scores[0], scores[0]]
         back: list[tuple[int, int]] = []
-        for s in scores[1:]:
+        for s, d in zip(scores[1:], near):
             came, now = [], []
             for tag, own in ((0, -s), (1, s)):
-                stay, turn = best[0] + t.get((0, tag), 0.0), best[1] + t.get((1, tag), 0.0)
+                stay, turn = best[0] + t.get((0, tag, d), 0.0), best[1] + t.get((1, tag, d), 0.0)
                 came.append(0 if stay >= turn else 1)
                 now.append(max(stay, turn) + own)
             back.append((came[0], came[1]))
@@ -318,20 +347,26 @@ class Tagger:
             tags.append(came[tags[-1]])
         return tags[::-1]
 
-    def fit(self, chains: list[tuple[list[list[str]], list[int]]], passes: int = PASSES) -> Tagger:
-        """Averaged structured perceptron with margin over chains with their true tags."""
+    def tags(self, own: list[Place]) -> list[int]:
+        return self.decode([p.features for p in own], [_near(x, y) for x, y in zip(own, own[1:])])
+
+    def fit(self, chains: list[tuple[list[Place], list[int]]], start: dict[str, float], passes: int = PASSES, hidden: float = HIDDEN) -> Tagger:
+        """Averaged structured perceptron with margin over chains with their true tags, from the weights ``start``."""
         total: dict[str, float] = defaultdict(float)
-        moved: dict[tuple[int, int], float] = defaultdict(float)
-        w: dict[str, float] = defaultdict(float)
-        t: dict[tuple[int, int], float] = defaultdict(float)
+        moved: dict[tuple[int, int, int], float] = defaultdict(float)
+        w: dict[str, float] = defaultdict(float, start)
+        t: dict[tuple[int, int, int], float] = defaultdict(float)
         self.weights, self.moves = w, t
-        step = 0
+        step, draw = 0, random.Random(1)
         n = max(1, passes * len(chains))
         for _ in range(passes):
-            for chain, truth in chains:
+            for own, truth in chains:
                 left = (n - step) / n
                 step += 1
-                guess = self.decode(chain, truth)
+                blind = draw.random() < hidden
+                chain = [p.features[p.words :] if blind else p.features for p in own]
+                near = [_near(x, y) for x, y in zip(own, own[1:])]
+                guess = self.decode(chain, near, truth)
                 if guess == truth:
                     continue
                 for features, was, should in zip(chain, guess, truth):
@@ -340,38 +375,114 @@ class Tagger:
                             w[f] += should - was
                             total[f] += (should - was) * left
                 for path, sign in ((truth, 1), (guess, -1)):
-                    for move in zip(path, path[1:]):
+                    for move in zip(path, path[1:], near):
                         t[move] += sign * MOVE_STEP
                         moved[move] += sign * left * MOVE_STEP
-        self.weights, self.moves = dict(total), dict(moved)
+        self.weights = {f: total.get(f, 0.0) + start.get(f, 0.0) for f in {*total, *start}}
+        self.moves = dict(moved)
         return self
 
 
-def training_chains(texts: Iterable[str]) -> list[tuple[list[list[str]], list[int]]]:
-    """Chains with tags: blocks with silver labels, and joined units of unpunctuated scripts.
-
-    For scripts without end marks, paragraphs and list items that hold no blank are whole units
-    by the layout; their end marks are stripped and they are joined by blanks, so what the
-    chain learns there comes from known boundaries between texts without punctuation.
+def layout_model(between: list[Place], within: list[Place], rounds: int = ROUNDS) -> dict[str, float]:
+    """Log-odds weights of features for a place between two blocks against one within a block (logistic regression)."""
+    seen = Counter(f for p in between + within for f in p.features)
+    names = {f: k for k, f in enumerate(f for f, n in seen.items() if n >= SEEN)}
+    at, row = [], []
+    for n, p in enumerate(between + within):
+        own = [names[f] for f in p.features if f in names]
+        at += own
+        row += [n] * len(own)
+    at, row = np.array(at, int), np.array(row, int)
+    n1, n0 = max(1, len(between)), max(1, len(within))
+    truth = np.r_[np.ones(len(between)), np.zeros(len(within))]
+    weight = np.r_[np.full(len(between), 0.5 / n1), np.full(len(within), 0.5 / n0)]
+    w, m, v = np.zeros(len(names)), np.zeros(len(names)), np.zeros(len(names))
+    for k in range(1, rounds + 1):
+        z = np.bincount(row, w[at], len(truth))
+        g = np.bincount(at, ((1 / (1 + np.exp(-z)) - truth) * weight)[row], len(names)) + PENALTY * w
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        w -= 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-9)
+    return dict(zip(names, w))
+
+
+def _script(text: str) -> str:
+    """The script of the first letter that is not plain Latin, if any."""
+    m = _FOREIGN.search(text)
+    return unicodedata.name(m.group(), "").split(" ")[0] if m else "LATIN"
+
+
+def _stripped(block: str, ends: list[int]) -> tuple[str, list[int]]:
+    """The block without end marks, and where its units end then."""
+    out, cuts, start = [], [], 0
+    for end in ends:
+        piece = re.sub(r"[.!?…‥。！？।॥؟۔;]+(?=\W*\Z)", "", block[start:end]).strip()
+        if piece:
+            out.append(piece)
+        start = end
+    out.append(block[start:].strip())
+    for piece in out[:-1]:
+        cuts.append(len(piece) + (cuts[-1] + 1 if cuts else 0))
+    return " ".join(out), cuts
+
+
+def training_chains(texts: Iterable[str]) -> tuple[list[tuple[list[Place], list[int]]], dict[str, float]]:
+    """Chains of places with tags, and the weights that the fit starts from, from texts whose only known boundaries are those of their layout.
+
+    Each block is joined, without its list marker, to others of its script: the place at the
+    joint is a boundary that the layout proves. How places within blocks look is known
+    too, but not which of them are boundaries. Since boundaries look alike at joints and within
+    blocks, a place whose looks are rarer at joints than within blocks, by far, is inside:
+    abbreviations, decimals, ordinals and marks within quotes hardly ever stand at a joint.
+    These labels, the joints, and the blocks with their end marks stripped and their units
+    parted by blanks (for scripts without marks) are what the chain is fitted on, from the
+    weights of that comparison.
     """
-    chains = []
-    units: list[str] = []
+    between: list[Place] = []
+    within: list[Place] = []
+    bodies: list[str] = []
+    joints: list[tuple[list[Place], int]] = []
+    draw = random.Random(1)
+    scripts: dict[str, list[str]] = defaultdict(list)
     for text in texts:
         for a, b in blocks(text):
-            block = text[a:b]
-            open_places = candidates(block)
-            if open_places:
-                chains.append(([c.features for c in open_places], [int(c.silver) for c in open_places]))
+            block = text[a:b].strip()
             marker = _ITEM.match(block)
-            unit = block[marker.end() if marker else 0 :].strip().rstrip("!?.…")
-            if _NO_MARKS.search(unit) and not _BLANK.search(unit):
-                units.append(unit)
-    for k in range(0, len(units) - 3, 4):
-        joined = units[k : k + 4]
-        ends = {sum(len(u) + 1 for u in joined[: n + 1]) - 1 for n in range(len(joined))}
-        places = candidates(" ".join(joined))
-        chains.append(([c.features for c in places], [int(c.end in ends) for c in places]))
-    return chains
+            body = block[marker.end() :] if marker else block
+            if body and not _HEADING.match(block):
+                bodies.append(body)
+                scripts[_script(body)].append(body)
+    for one in bodies:
+        mine = scripts[_script(one)]
+        marked = bool(_NO_MARKS.search(one))
+        for other in draw.choices(mine, k=JOINED):
+            gap = draw.choice(("", " ")) if _WIDE.search(one[-3:]) or _WIDE.match(other) else " "
+            left = draw.choice((one, one.rstrip("!?.…"))) if marked else one
+            joined = places(left + gap + other)
+            for p in joined:
+                if p.end == len(left):
+                    between.append(p)
+                    joints.append((joined, p.end))
+    inner = [places(b) for b in bodies]
+    within = [p for own in inner for p in own]
+    w = layout_model(between, within)
+    score = lambda p: sum(w.get(f, 0.0) for f in p.features)
+    usual = float(np.median([score(p) for p in between])) if between else 0.0
+    least = usual + np.log(LIKE_BLOCKS)
+    chains = []
+    for body, own in zip(bodies, inner):
+        tags = [int(score(p) >= least) for p in own]
+        if own:
+            chains.append((own, tags))
+        if not _NO_MARKS.search(body) and not _WIDE.search(body) and len(body) <= 2000:
+            bare, cuts = _stripped(body, [p.end for p, tag in zip(own, tags) if tag])
+            blank = [p for p in places(bare, True) if p.features[p.words] == "blank"]
+            chains.append((blank, [int(p.end in cuts) for p in blank]))
+    for joined, end in joints:
+        chains.append((joined, [int(p.end == end or score(p) >= least) for p in joined]))
+    start = {f: START * x for f, x in w.items()}
+    for f in ("mark", "blank"):
+        start[f] = start.get(f, 0.0) - START * least
+    return [c for c in chains if c[0]], {**start, **PRIOR}
 
 
 def units(text: str | None, per_line: bool, tagger: Tagger) -> list[tuple[int, int]]:
@@ -382,9 +493,9 @@ def units(text: str | None, per_line: bool, tagger: Tagger) -> list[tuple[int, i
         return [s for a, b in lines(text) if (s := trimmed(text, a, b))]
     out = []
     for a, b in blocks(text):
-        places = candidates(text[a:b])
+        own = places(text[a:b])
         start = a
-        for place, tag in zip(places, tagger.decode([c.features for c in places])):
+        for place, tag in zip(own, tagger.tags(own)):
             if tag:
                 out.append(trimmed(text, start, a + place.end))
                 start = a + place.end
@@ -403,7 +514,7 @@ def fit_tagger(df: DataFrame, key: str, text: str, *, documents: int = TRAIN_DOC
     some = usable.where(~rare).orderBy(order, "key").limit(documents - documents // 3)
     others = usable.where(rare).orderBy(order, "key").limit(documents // 3)
     sample = some.unionByName(others).select("text").collect()
-    return Tagger().fit(training_chains(r.text for r in sample))
+    return Tagger().fit(*training_chains(r.text for r in sample))
 
 
 def sentences(df: DataFrame, key: str, text: str, *, per_line: str | None = None, tagger: Tagger | None = None) -> DataFrame:

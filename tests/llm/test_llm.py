@@ -8,6 +8,7 @@ from itertools import combinations
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -193,21 +194,21 @@ def test_rates_reach_soft_targets():
     assert np.allclose((rate * size) @ p, target, rtol=1e-3) and (rate >= 0).all() and (rate <= cap).all()
 
 
-TRAIN = [
-    "The cache is cleared. Rule 4.2 forbids imports, e.g. Graph ones. It reads main.rs, util.py, etc. before x.py. Done! Why not? See Fig. 3 and No. 2.",
-    "The text “Keep it! Call him.” still shows in a.rs. “Keep out!” is a note. Nobody reads it. The cap is 44 items vs. 5. Two hubs share it, cf. NodePicker. foldNode calls it... Then it stops.",
-    "The hook printed \"Index is stale. Run again.\" and stopped. The job (it ran twice! why?) kept 3 rows. Wait ... the stage ran. It ended at 5 p.m. on the 2nd.",
-    "Der Wert sank auf ca. 3,5 % im 2. Durchlauf. Große Tabellen, z. B. der Graph, werden geteilt. Die Meldung lautete: „Index veraltet. Bitte neu starten.“ Betroffen sind Haken usw. Beide enden.",
-    "排名从1.2降到3.4。规则禁止导入；请改用A！“不要删除！”这条注释仍在b.go里。“快跑！”这条注释不在。为什么？完成……\n\n第二次扫描。",
-    "รุ่นv1.2ลบแคช\n\nการสแกนใช้เวลา1.5วินาที!\n\nเสร็จแล้ว!\n\nกฎข้อ2ห้ามนำเข้าx.tsโดยตรง\n\nไฟล์a.goยังเก็บสำเนา\n\nค่าของxลดลง\n\nโมดูลaส่งออก2ตัว\n\nทำไมaต้องใช้b.ts",
-]
+DOCUMENTS = Path("/root/testdata/sf0.1/documents.parquet")
 
 
 @pytest.fixture(scope="module")
-def tagger():
-    rnd = random.Random(11)
-    plain = [" ".join(f"Word{rnd.randrange(99)} {rnd.choice(['stops', 'runs', 'ends at'])} {rnd.randrange(99)}{rnd.choice('.!?')}" for _ in range(6)) for _ in range(300)]
-    return sentences.Tagger().fit(sentences.training_chains(TRAIN * 20 + plain))
+def halves():
+    if not DOCUMENTS.exists():
+        pytest.skip("no documents here")
+    rows = pd.read_parquet(DOCUMENTS, columns=["doc_id", "text", "source"])
+    rows = rows[(rows.source != "tool_output") & (rows.text.str.len() > 0) & (rows.text.str.len() <= 20_000)]
+    return rows[rows.doc_id % 2 == 0].text.head(1500).tolist(), rows[rows.doc_id % 2 == 1].text.head(1500).tolist()
+
+
+@pytest.fixture(scope="module")
+def tagger(halves):
+    return sentences.Tagger().fit(*sentences.training_chains(halves[0]))
 
 
 def cut(text, tagger, per_line=False):
@@ -236,28 +237,65 @@ def test_lines_of_output(tagger):
     assert cut("\tat a.b (c.ts:1)\n\n====\r\nError: x! See y. ", tagger, True) == ["at a.b (c.ts:1)", "====", "Error: x! See y."]
 
 
-def test_tagger_on_units_known_by_layout(tagger):
-    """Held-out accuracy: list items are whole units by the layout; joined by blanks they must come apart again."""
+@pytest.mark.parametrize("text", ["Gen. Smith met Sen. Lee at Mt. Rainier.", "M. Dupont est arrivé.", "The U.S. Senate met.", "Ing. Novák přišel."])
+def test_names_that_the_corpus_does_not_hold(tagger, text):
+    assert cut(text, tagger) == [text]
+
+
+def joined_blocks(texts, n=600):
+    """Blocks of one unit each (no mark or open blank before their end), by script."""
+    by = defaultdict(list)
+    for text in texts:
+        for a, b in sentences.blocks(text):
+            block = text[a:b].strip()
+            if sentences._HEADING.match(block) or sentences._ITEM.match(block) or "\n" in block or sentences.places(block):
+                continue
+            if block[-1] in ".!?。！？।؟" or sentences._NO_MARKS.search(block):
+                by[sentences._script(block)].append(block)
+    return {k: v[:n] for k, v in by.items() if len(set(v)) >= 8}
+
+
+def test_tagger_on_units_known_by_layout(halves, tagger):
+    """Held-out accuracy by script: blocks of one unit by the layout, joined, must come apart again and nowhere else."""
     rnd = random.Random(4)
-    items = [f"Rule {k}.{k % 7} forbids import {k}." for k in range(40)] + [f"Page rank fell from {k}.5 to {k}.25!" for k in range(40)] + [f"Should it run before step {k}?" for k in range(40)]
-    right = total = 0
-    for _ in range(60):
-        some = rnd.sample(items, 5)
-        got = set(cut(" ".join(some), tagger))
-        right, total = right + len(got & set(some)), total + 5
-    assert right / total > 0.97
+    scripts = joined_blocks(halves[1])
+    assert len(scripts) >= 5
+    for script, units in scripts.items():
+        right = wanted = found = 0
+        for _ in range(60):
+            some = rnd.sample(units, 4)
+            got = cut(" ".join(some), tagger)
+            right, wanted, found = right + len(set(got) & set(some)), wanted + len(set(some)), found + len(set(got))
+        assert right / wanted >= 0.95 and right / found >= 0.95, script
+
+
+def test_moves_help_where_words_are_unknown(halves, tagger):
+    bare = sentences.Tagger()
+    bare.weights = tagger.weights
+
+    def wrong(model):
+        n = 0
+        for text in halves[1]:
+            for a, b in sentences.blocks(text):
+                own = sentences.places(text[a:b])
+                near = [sentences._near(x, y) for x, y in zip(own, own[1:])]
+                blind = model.decode([p.features[p.words :] for p in own], near)
+                n += sum(x != y for x, y in zip(blind, tagger.tags(own)))
+        return n
+
+    assert wrong(tagger) < 0.9 * wrong(bare)
 
 
 def test_viterbi_is_the_best_path():
     rnd = random.Random(9)
     t = sentences.Tagger()
     t.weights = {f: rnd.uniform(-1, 1) for f in "abcd"}
-    t.moves = {(x, y): rnd.uniform(-1, 1) for x in (0, 1) for y in (0, 1)}
+    t.moves = {(x, y, d): rnd.uniform(-1, 1) for x in (0, 1) for y in (0, 1) for d in range(4)}
     for _ in range(50):
-        chain = [rnd.sample("abcd", 2) for _ in range(6)]
-        score = lambda tags: sum((1 if y else -1) * sum(t.weights[f] for f in fs) for fs, y in zip(chain, tags)) + sum(t.moves[m] for m in zip(tags, tags[1:]))
+        chain, near = [rnd.sample("abcd", 2) for _ in range(6)], [rnd.randrange(4) for _ in range(5)]
+        score = lambda tags: sum((1 if y else -1) * sum(t.weights[f] for f in fs) for fs, y in zip(chain, tags)) + sum(t.moves[m] for m in zip(tags, tags[1:], near))
         best = max(([(k >> i) & 1 for i in range(6)] for k in range(64)), key=score)
-        assert abs(score(t.decode(chain)) - score(best)) < 1e-9
+        assert abs(score(t.decode(chain, near)) - score(best)) < 1e-9
 
 
 def test_long_texts_take_linear_time(tagger):
