@@ -8,29 +8,43 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
+from .skew import heavy_keys, salted_join
 
 #: Fixed values of the health analysis.
+NOT_PRODUCTION = r"(^|/)(?:test|dist|build|coverage|node_modules)/|\.test\.|\.spec\."
 EDGE_WEIGHTS = {"calls": 1.0, "extends": 1.0, "imports": 0.5}
 OTHER_WEIGHT, LEAST_THRESHOLD, PERCENTILE = 0.7, 4.0, 0.9
+#: Share of all files on each side of the percentile among which it is looked for.
+NEAR = 0.01
 ENTRY_NAMES = ("main", "cli", "handler", "run", "start", "app", "server")
 PENALTIES = {"constraints": (20, 0.4), "circular": (25, 0.2), "dead_code": (2, 0.2), "coupling": (15, 0.2)}
 
 
+def production(vertices: DataFrame) -> DataFrame:
+    """Vertices outside folders and files of tests, builds and dependencies; those without a file stay."""
+    return vertices.where(~F.coalesce(F.col("file_path").rlike(NOT_PRODUCTION), F.lit(False)))
+
+
 def file_edges(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """``(from_file, to_file, type, n)``: edges between different files, ``contains`` left out."""
+    """``(from_file, to_file, type, n)``: edges between different files, ``contains`` left out.
+
+    Sources are joined first and edges counted per file, target and type, so that a target that
+    very many refer to comes down to a row for each file; what then is still heavy is salted.
+    """
     at = vertices.where("file_path is not null").select("id", "file_path").distinct()
     used = edges.where("type <> 'contains'")
-    placed = used.join(at.select(F.col("id").alias("source_id"), F.col("file_path").alias("from_file")), "source_id").join(
-        at.select(F.col("id").alias("target_id"), F.col("file_path").alias("to_file")), "target_id"
-    )
-    return placed.where("from_file <> to_file").groupBy("from_file", "to_file", "type").agg(F.count(F.lit(1)).alias("n"))
+    placed = used.join(at.select(F.col("id").alias("source_id"), F.col("file_path").alias("from_file")), "source_id")
+    grouped = placed.groupBy("from_file", "target_id", "type").agg(F.count(F.lit(1)).alias("n"))
+    targets = at.select(F.col("id").alias("target_id"), F.col("file_path").alias("to_file"))
+    both = salted_join(grouped, targets, "target_id", ["from_file", "type"], heavy_keys(used, ["target_id"]))
+    return both.where("from_file <> to_file").groupBy("from_file", "to_file", "type").agg(F.sum("n").alias("n"))
 
 
 def coupling_hotspots(links: DataFrame) -> DataFrame:
     """Files whose weighted fan-in or fan-out reaches the 90th percentile of all (at least 4).
 
     ``links`` are ``file_edges``. The percentile is the value at index ``floor(0.9 n)`` of the
-    ascending maxima; it is found by ranking distinct values with their counts.
+    ascending maxima; it is found exactly, by ranking the distinct values around the approximate one.
     """
     weight = F.lit(OTHER_WEIGHT)
     for t, w in EDGE_WEIGHTS.items():
@@ -43,8 +57,14 @@ def coupling_hotspots(links: DataFrame) -> DataFrame:
         *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("fan_in", "fan_out")),
         *(F.coalesce(c, F.lit(0)).alias(c) for c in ("incoming", "outgoing")),
     )
-    values = both.groupBy(F.greatest("fan_in", "fan_out").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    upto = values.withColumn("upto", F.sum("n").over(Window.orderBy("v"))).withColumn("whole", F.sum("n").over(Window.partitionBy()))
+    both = both.withColumn("v", F.greatest("fan_in", "fan_out"))
+    # The value at the place is near the approximate percentile: rows below are counted, and only distinct values around it are ranked.
+    near = [max(0.0, PERCENTILE - NEAR), min(1.0, PERCENTILE + NEAR)]
+    around = both.agg(F.percentile_approx("v", near, int(2 / NEAR)).alias("p"), F.count(F.lit(1)).alias("whole")).select(F.col("p")[0].alias("low"), F.col("p")[1].alias("high"), "whole")
+    placed = both.join(F.broadcast(around))  # one row
+    below = placed.agg(F.count_if(F.col("v") < F.col("low")).alias("below"))
+    values = placed.where("v between low and high").groupBy("v", "whole").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(below))
+    upto = values.withColumn("upto", F.sum("n").over(Window.orderBy("v")) + F.col("below"))
     at = upto.where(F.col("upto") > F.floor(F.col("whole") * PERCENTILE)).agg(F.greatest(F.min("v"), F.lit(LEAST_THRESHOLD)))
     limit = at.scalar()
     hot = both.withColumn("limit", limit).where((F.col("fan_in") >= F.col("limit")) | (F.col("fan_out") >= F.col("limit")))

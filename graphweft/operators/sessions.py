@@ -42,15 +42,18 @@ def attention(observations: DataFrame) -> DataFrame:
 
     A tick is the place of an observation in its session by instant, then id. A file is edited
     once any access edits or creates it; one not accessed in the last ``FORGET_AFTER`` ticks is
-    forgotten.
+    forgotten. Only the last ticks of a session are ranked; Spark cuts to them before its shuffle.
     """
-    tick = F.row_number().over(Window.partitionBy("session_id").orderBy("instant", "id"))
-    ticked = once(observations).withColumn("tick", tick)
-    size = ticked.groupBy("session_id").agg(F.max("tick").alias("ticks"))
-    files = ticked.where("file_path is not null").groupBy("session_id", "file_path").agg(
-        F.count(F.lit(1)).alias("accesses"), F.max("tick").alias("last_tick"), F.bool_or(F.coalesce(F.col("event").isin("file:edit", "file:create"), F.lit(False))).alias("edited")
+    rows = once(observations)
+    back = F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("instant"), F.desc("id")))
+    recent = rows.select("session_id", "instant", "id", "file_path").withColumn("back", back).where(F.col("back") <= FORGET_AFTER + 1)
+    last = recent.where("file_path is not null").groupBy("session_id", "file_path").agg(F.min("back").alias("back"))
+    size = rows.groupBy("session_id").agg(F.count(F.lit(1)).alias("ticks"))
+    files = rows.where("file_path is not null").groupBy("session_id", "file_path").agg(
+        F.count(F.lit(1)).alias("accesses"), F.bool_or(F.coalesce(F.col("event").isin("file:edit", "file:create"), F.lit(False))).alias("edited")
     )
-    return files.join(size, "session_id").where(F.col("ticks") - F.col("last_tick") <= FORGET_AFTER).drop("ticks")
+    found = files.join(last, ["session_id", "file_path"]).join(size, "session_id")
+    return found.select("session_id", "file_path", "accesses", (F.col("ticks") - F.col("back") + 1).alias("last_tick"), "edited")
 
 
 def touched(observations: DataFrame) -> DataFrame:

@@ -61,3 +61,19 @@ def distinct_counts(df: DataFrame, keys: Sequence[str], item: str, *, salts: int
     once = salted.repartition(*keys, "__salt").groupBy(*keys, "__salt", "__item").agg(F.count(F.lit(1)).alias("__n"))
     partial = once.groupBy(*keys, "__salt").agg(F.count("__item").alias("__items"), F.sum("__n").alias("__rows"))
     return partial.groupBy(*keys).agg(F.sum("__items").alias("n_items"), F.sum("__rows").alias("n_rows"))
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, by: Sequence[str], heavy: Sequence[int]) -> DataFrame:
+    """Inner join on ``key`` of a skewed ``left`` with a ``right`` of few rows a key.
+
+    Rows of the ``heavy`` keys of ``left`` (hashes of ``heavy_keys``) are spread over as many
+    salts as there are tasks by a hash of the columns ``by``; the right rows of just these
+    keys are repeated for each salt. Null keys join nothing.
+    """
+    if not heavy:
+        return left.join(right, key)
+    none, salts = F.lit(0).cast("long"), tasks_of(left.sparkSession)
+    hot = is_heavy([key], heavy)
+    salt = F.when(hot, F.pmod(F.xxhash64(*by), F.lit(salts))).otherwise(none)
+    every = F.when(hot, F.sequence(none, F.lit(salts - 1).cast("long"))).otherwise(F.array(none))
+    return left.withColumn("__salt", salt).join(right.withColumn("__salt", F.explode(every)), [key, "__salt"]).drop("__salt")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -40,3 +40,21 @@ def difference(before: DataFrame, after: DataFrame) -> DataFrame:
     a, b = before.select("id", F.col("kind").alias("k1"), F.col("digest").alias("d1")), after.select("id", F.col("kind").alias("k2"), F.col("digest").alias("d2"))
     change = F.when(F.col("d1").isNull(), "added").when(F.col("d2").isNull(), "removed").when(F.col("d1") != F.col("d2"), "changed")
     return a.join(b, "id", "full").select("id", F.coalesce("k2", "k1").alias("kind"), change.alias("change")).where("change is not null")
+
+
+def delete_by_prefix(edges: DataFrame, files: DataFrame, column: str = "source_id") -> DataFrame:
+    """Edges without those whose id in ``column`` is ``fn:<path>:...`` for a path of ``files (file_path)``, by the exact path."""
+    path = F.regexp_extract(column, "^fn:([^:]*):", 1)
+    return edges.withColumn("__path", path).join(files.select(F.col("file_path").alias("__path")).distinct(), "__path", "left_anti").drop("__path")
+
+
+def replace_files(table: DataFrame, rows: DataFrame) -> DataFrame:
+    """The table with all rows of each file of ``rows`` taken out and these put in; rows without a file stay."""
+    files = rows.where("file_path is not null").select("file_path").distinct()
+    return table.join(files, "file_path", "left_anti").select(table.columns).unionByName(rows.select(table.columns))
+
+
+def latest_snapshots(snapshots: DataFrame, by: str, at: str, k: int) -> DataFrame:
+    """The ``k`` latest rows of ``snapshots`` of each ``by``, latest first, with their ``place``."""
+    place = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(at)))
+    return snapshots.withColumn("place", place).where(F.col("place") <= k)

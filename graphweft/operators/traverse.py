@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
@@ -72,6 +74,90 @@ def flow_steps(seeds: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     return steps.select(F.col("source_id").alias("source"), F.col("target_id").alias("target"), "type", (F.col("depth") + 1).alias("depth"))
 
 
+def data_steps(seeds: DataFrame, edges: DataFrame, depth: int, forward: bool = True) -> DataFrame:
+    """``(source, target, type, depth)``: every step of the data that flows from, or else to, ``seeds (node)``.
+
+    ``flows_to`` is followed with or against its direction; each node less than ``depth`` links
+    away also gives a step, one deeper than itself, for what it reads (forward) or for what
+    writes it (backward).
+    """
+    here, there, extra = ("source_id", "target_id", "reads") if forward else ("target_id", "source_id", "writes")
+    links = edges.where("type = 'flows_to'").select(F.col(here).alias("src"), F.col(there).alias("dst"))
+    visited = reach(seeds, links, depth - 1).select(F.col("node").alias(here), "depth")
+    steps = edges.where(F.col("type").isin("flows_to", extra)).join(visited, here)
+    return steps.select(F.col("source_id").alias("source"), F.col("target_id").alias("target"), "type", (F.col("depth") + 1).alias("depth"))
+
+
+#: Entries that one number tells apart, a bit for each.
+_BITS = 63
+
+
+def execution_flows(entries: DataFrame, edges: DataFrame, functions: DataFrame, depth: int, types: Sequence[str] = ("calls", "flows_to")) -> DataFrame:
+    """``(entry, n_nodes, depth, has_async, has_error_path)``: the flow of each of ``entries (node)``.
+
+    A flow has the nodes that at most ``depth`` edges of ``types`` lead to, the entry included;
+    ``depth`` is that of its farthest node. It is asynchronous if a node of it is, and has an
+    error path if an edge leads from a node of it to an ``error:`` id.
+
+    All entries are followed at once: each 63 of them share a number per node, a bit for each
+    entry that reaches it, so the state has a row per node and 63 entries, and a round is a
+    join and a bitwise aggregation that takes only bits that are new.
+    """
+    known = entries.where("node is not null").select("node").distinct()
+    place = F.row_number().over(Window.partitionBy("part").orderBy("node")) - 1
+    numbered = known.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(1024))).withColumn("k", place)
+    numbered = checkpointed(numbered.select("node", F.concat_ws(":", "part", F.floor(F.col("k") / _BITS)).alias("block"), (F.col("k") % _BITS).cast("int").alias("bit")))
+    hops = checkpointed(edges.where(F.col("type").isin(*types)).select(F.col("source_id").alias("node"), "target_id").distinct())
+    front = checkpointed(numbered.select("node", "block", F.expr("shiftleft(1L, bit)").alias("mask")))
+    found, rounds = front, front.select("block", "mask", F.lit(0).alias("round"))
+    for k in range(1, depth + 1):
+        came = front.join(hops, "node").groupBy(F.col("target_id").alias("node"), "block").agg(F.bit_or("mask").alias("came"))
+        had = found.groupBy("node", "block").agg(F.bit_or("mask").alias("had"))
+        new = came.join(had, ["node", "block"], "left").select("node", "block", F.col("came").bitwiseAND(F.bitwise_not(F.coalesce("had", F.lit(0).cast("long")))).alias("mask"))
+        front = checkpointed(new.where("mask <> 0"))
+        if front.isEmpty():
+            break
+        found = found.unionByName(front)
+        rounds = rounds.unionByName(front.select("block", "mask", F.lit(k).alias("round")))
+    waits = functions.where("is_async").select(F.col("id").alias("node")).distinct().withColumn("waits", F.lit(True))
+    fails = edges.where("target_id like 'error:%'").select(F.col("source_id").alias("node")).distinct().withColumn("fails", F.lit(True))
+    whole = found.groupBy("node", "block").agg(F.bit_or("mask").alias("mask")).join(waits, "node", "left").join(fails, "node", "left")
+    bit = lambda c, k: F.expr(f"{c} >> {k} & 1L")
+    counts = whole.groupBy("block").agg(
+        F.array(*(F.sum(bit("mask", k)) for k in range(_BITS))).alias("n"),
+        F.coalesce(F.bit_or(F.when(F.col("waits"), F.col("mask"))), F.lit(0).cast("long")).alias("waits"),
+        F.coalesce(F.bit_or(F.when(F.col("fails"), F.col("mask"))), F.lit(0).cast("long")).alias("fails"),
+    )
+    far = rounds.groupBy("block", "round").agg(F.bit_or("mask").alias("mask")).groupBy("block").agg(
+        F.array(*(F.max(F.when(bit("mask", k) == 1, F.col("round"))) for k in range(_BITS))).alias("far")
+    )
+    flows = numbered.join(counts, "block").join(far, "block")
+    own = lambda c: F.expr(f"shiftright({c}, bit) & 1L") == 1
+    return flows.select(
+        F.col("node").alias("entry"), F.col("n")[F.col("bit")].alias("n_nodes"), F.col("far")[F.col("bit")].alias("depth"), own("waits").alias("has_async"), own("fails").alias("has_error_path")
+    )
+
+
+def topological_levels(links: DataFrame) -> DataFrame:
+    """``(node, level)``: how many rounds of taking off nodes without a link in come before each node's own.
+
+    Self-loops do not count. Nodes on cycles, and behind them, are never taken off; their level
+    is null. One join a round over the links left, until nothing more is taken off.
+    """
+    left = checkpointed(links.select("src", "dst").where("src <> dst").distinct())
+    nodes = checkpointed(links.select(F.explode(F.array("src", "dst")).alias("node")).where("node is not null").distinct())
+    found, rest, k = nodes.limit(0).withColumn("level", F.lit(0)), nodes, 0
+    while True:
+        free = checkpointed(rest.join(left.select(F.col("dst").alias("node")), "node", "left_anti"))
+        if free.isEmpty():
+            break
+        found = found.unionByName(free.withColumn("level", F.lit(k)))
+        rest = checkpointed(rest.join(free, "node", "left_anti"))
+        left = checkpointed(left.join(free.withColumnRenamed("node", "src"), "src", "left_anti"))
+        k += 1
+    return found.unionByName(rest.withColumn("level", F.lit(None).cast("int")))
+
+
 def implementors(edges: DataFrame) -> DataFrame:
     """``(target_id, implementor, indirect)``: direct implementors of anything and, one by one, theirs."""
     direct = checkpointed(edges.where("type = 'implements' and source_id <> target_id").select("target_id", F.col("source_id").alias("implementor")).distinct())
@@ -86,7 +172,7 @@ def implementors(edges: DataFrame) -> DataFrame:
     return found
 
 
-def pagerank(vertices: DataFrame, links: DataFrame, rounds: int = 10, damping: float = 0.85, cut_every: int = 1) -> DataFrame:
+def pagerank(vertices: DataFrame, links: DataFrame, rounds: int = 10, damping: float = 0.85, cut_every: int = 2) -> DataFrame:
     """``(id, rank)`` after ``rounds`` rounds on ``links (src, dst)``, parallel links counted each.
 
     Links carry their share of the source's rank, so a round is one join by source and one

@@ -149,7 +149,7 @@ def graph_growth(spark: SparkSession, d: str) -> DataFrame:
 
 _STATEMENT = """
 select coalesce(kind, 'all') as kind, coalesce(type, 'all') as type, n, rank() over (order by n desc, coalesce(kind, 'all'), coalesce(type, 'all')) as place
-from (select v.kind, e.type, count(*) as n from edge e join vertex v on v.id = e.target_id group by grouping sets ((v.kind, e.type), (v.kind), ()))
+from (select v.kind, e.type, count(*) as n from code_edge e join code_vertex v on v.id = e.target_id group by grouping sets ((v.kind, e.type), (v.kind), ()))
 order by place"""
 
 
@@ -241,6 +241,6 @@ select * from (select coalesce(b.id, a.id) as id, coalesce(b.kind, a.kind) as ki
     "edges_after_delete": f"with {BASE}, gone as (select id from nodes where deleted_at is not null and id is not null and id not in (select id from vertex)) select type, count(*) as n_edges from edge where source_id not in (select id from gone) and target_id not in (select id from gone) group by 1",
     "upserted_edges": "select source_id, target_id, lower(trim(type)) as type, max(indexed_at) as indexed_at from edges where source_id is not null and target_id is not null and type is not null group by all",
     "graph_growth": "select date_trunc('month', indexed_at)::timestamp as month, lower(trim(type)) as type, count(*) as n, count(*) filter (loaded_at > indexed_at + interval 1 day) as n_late from edges group by all",
-    "sql_over_graph": f"with {BASE} {_STATEMENT}".replace("with \n", "with "),
+    "sql_over_graph": f"with {BASE}, code_edge as (from edge), code_vertex as (from vertex) {_STATEMENT}".replace("with \n", "with "),
     "stream_hourly": f"with {_OBS} select date_trunc('hour', epoch_ms(instant))::timestamp as hour, event, count(distinct id) as n from obs group by all",
 }

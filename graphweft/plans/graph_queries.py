@@ -65,6 +65,7 @@ def file_cycles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def health_score(spark: SparkSession, d: str) -> DataFrame:
+    """Counts and scores; there are no rules to hold the code against, so ``constraints`` is 0 and its 40 % of the score full."""
     one = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
     counts = one(dead_code(spark, d), "dead_code").join(one(coupling_hotspots(spark, d), "coupling")).join(
         file_cycles(spark, d).agg(F.count_distinct("cycle").alias("circular"))
@@ -91,6 +92,7 @@ def layer_findings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def god_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Classes of at least three methods here (the operator's own threshold is ten): the tables hold few methods a class."""
     methods = vertices(spark, d).where("kind = 'method'")
     owners = methods.select("file_path", F.substring_index("name", ".", 1).alias("name"), F.lit(None).cast("double").alias("betweenness")).distinct()
     classes = table(spark, d, "nodes_class").select("file_path", "name", "betweenness")
@@ -159,7 +161,10 @@ def trace_flow_steps(spark: SparkSession, d: str) -> DataFrame:
 
 
 def taint(spark: SparkSession, d: str) -> DataFrame:
-    """How far values flow from parameters read: ``flows_to`` from the readers of variables, ten rounds at most."""
+    """How far values flow from the readers of variables along ``flows_to``, ten rounds as the sweep it stands for has.
+
+    The tables carry no labels of flows, so all that is read counts as a source.
+    """
     links = edges(spark, d).where("type = 'flows_to'").select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"))
     seeds = edges(spark, d).where("type = 'reads'").select(F.col("source_id").alias("node"))
     return traverse.reach(seeds, links, 10)

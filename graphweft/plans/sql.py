@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,13 +17,52 @@ MAX_ROWS = 500
 _PATHS = re.compile(r"\b(parquet|csv|json|orc|text|avro|binaryfile)\s*\.\s*`|\bread_files\b", re.I)
 
 
+#: Expressions and plans that call code by its name or run programs.
+_CALLS = frozenset({"CallMethodViaReflection", "TryReflect", "ScriptTransformation", "ScriptInputOutputSchema"})
+#: Leaves of a plan that come from the statement alone or from the views.
+_OWN = frozenset({"LogicalRelation", "LogicalRDD", "LocalRelation", "OneRowRelation", "Range", "CTERelationRef", "ResolvedInlineTable", "EmptyRelation"})
+
+
 def register(spark: SparkSession, d: str) -> None:
-    """Make the graph's views known to SQL: ``vertex``, ``edge``, ``function_state``, ``observation``, ``change``."""
-    vertices(spark, d).createOrReplaceTempView("vertex")
-    edges(spark, d).createOrReplaceTempView("edge")
-    functions(spark, d).createOrReplaceTempView("function_state")
-    table(spark, d, "session_observations").createOrReplaceTempView("observation")
-    table(spark, d, "change_records").createOrReplaceTempView("change")
+    """Make the graph's views known to SQL: ``code_vertex``, ``code_edge``, ``code_function``, ``code_observation``, ``code_change``."""
+    vertices(spark, d).createOrReplaceTempView("code_vertex")
+    edges(spark, d).createOrReplaceTempView("code_edge")
+    functions(spark, d).createOrReplaceTempView("code_function")
+    table(spark, d, "session_observations").createOrReplaceTempView("code_observation")
+    table(spark, d, "change_records").createOrReplaceTempView("code_change")
+
+
+def _items(seq: Any) -> list:
+    return [seq.apply(k) for k in range(seq.size())]
+
+
+def check_plan(df: DataFrame, folder: str) -> None:
+    """An error if the analysed plan calls Java methods or programs, is a command, or reads other files than those of ``folder``.
+
+    Plans, their expressions, the plans of subqueries and of common table expressions are all
+    looked through.
+    """
+    todo = [df._jdf.queryExecution().analyzed()]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        names = {c.getSimpleName() for c in node.getClass().getInterfaces()}
+        if kind in _CALLS or kind.endswith("Command") or "Command" in names:
+            raise ValueError(f"not read-only: {kind}")
+        plan = hasattr(node, "expressions") and "plans.logical" in node.getClass().getName() or "datasources" in node.getClass().getName() or kind == "LogicalRDD"
+        if plan:
+            inner = _items(node.expressions())
+            leaf = node.children().isEmpty()
+            if leaf and kind not in _OWN:
+                raise ValueError(f"not of the views: {kind}")
+            if kind == "LogicalRelation":
+                for path in _items(node.relation().location().rootPaths()):
+                    if not path.toUri().getPath().startswith(folder.removeprefix("file://").rstrip("/") + "/"):
+                        raise ValueError("files cannot be read from a statement")
+            todo += inner + _items(node.innerChildren())
+        elif "SubqueryExpression" in names or kind.endswith("Subquery") or kind in ("ListQuery", "Exists"):
+            todo.append(node.plan())
+        todo += _items(node.children())
 
 
 def check_read_only(statement: str) -> str:
@@ -41,7 +81,12 @@ def check_read_only(statement: str) -> str:
 
 
 def query_graph(spark: SparkSession, d: str, statement: str, max_rows: int = MAX_ROWS) -> DataFrame:
-    """Rows of a read-only statement over the graph's views, ``max_rows`` at most."""
+    """Rows of a read-only statement over the graph's views, ``max_rows`` at most.
+
+    The statement is judged by its words and then by its analysed plan, before anything runs.
+    """
     body = check_read_only(statement)
     register(spark, d)
-    return spark.sql(body).limit(max_rows)
+    df = spark.sql(body)
+    check_plan(df, d)
+    return df.limit(max_rows)

@@ -10,9 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphweft.functions import names, texts
-from graphweft.operators import features, graph, health, orphans, patterns, search, sessions, skew, store, traverse
+from graphweft.operators import features, graph, health, lookup, orphans, patterns, search, sessions, skew, store, traverse
 from graphweft.plans import activity_queries
-from graphweft.plans.sql import check_read_only
+from graphweft.plans.sql import check_read_only, query_graph
 
 T = datetime.fromisoformat
 
@@ -208,7 +208,7 @@ def test_fusion_and_cosine(spark):
     right = spark.createDataFrame([("q", d, k + 1) for k, d in enumerate("cad")], "query string, doc string, rank int")
     assert [r.doc for r in search.fuse(left, right).orderBy("rank").collect()] == ["a", "c", "b", "d"]
     vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 1.0]), (3, [0.0, 0.0]), (4, [1.0]), (5, None), (6, [-1.0, 0.0])], "vec_id long, v array<double>")
-    got = search.cosine_top(vectors.where("vec_id = 1"), vectors, "vec_id", "v", 5, block=2).orderBy("rank")
+    got = search.cosine_top(vectors.where("vec_id = 1"), vectors, "vec_id", "v", 5, most=1).orderBy("rank")
     assert [(r.id, r.score) for r in got.collect()] == [(2, 0.707107), (6, -1.0)]
 
 
@@ -232,6 +232,46 @@ def test_gate_refuses(bad):
         check_read_only(bad)
 
 
+@pytest.fixture(scope="module")
+def graph_tables(spark, tmp_path_factory):
+    d = str(tmp_path_factory.mktemp("graph"))
+    node = "id string, type string, name string, file_path string, line_start int, line_end int, is_exported boolean, metadata string, indexed_at timestamp, deleted_at timestamp"
+    chain = [(k, "function", k, "packages/a.ts", 1, 2, False, None, None, None) for k in ("foo", "bar", "baz")]
+    spark.createDataFrame(chain, node).write.parquet(f"{d}/nodes.parquet")
+    spark.createDataFrame([], "id string, name string, file_path string, line_start int, line_end int, is_abstract boolean, is_exported boolean, community int, page_rank double, betweenness double").write.parquet(f"{d}/nodes_class.parquet")
+    edge = "edge_id long, source_id string, target_id string, type string, indexed_at timestamp, loaded_at timestamp"
+    spark.createDataFrame([(1, "foo", "bar", "calls", None, None), (2, "bar", "baz", " Calls", None, None)], edge).write.parquet(f"{d}/edges.parquet")
+    spark.createDataFrame([], "id string, name string, file_path string, line_start int, line_end int, is_async boolean, is_exported boolean, community int, page_rank double, betweenness double, indexed_at timestamp").write.parquet(f"{d}/nodes_function.parquet")
+    spark.createDataFrame([], "id long").write.parquet(f"{d}/session_observations.parquet")
+    spark.createDataFrame([], "id long").write.parquet(f"{d}/change_records.parquet")
+    return d
+
+
+@pytest.mark.parametrize("call", [
+    "select java_method('java.lang.System', 'getProperty', 'user.dir')",
+    "select reflect('java.util.UUID', 'randomUUID')",
+    "select try_reflect('java.util.UUID', 'randomUUID')",
+    "select 1 where exists (select java_method('java.util.UUID', 'randomUUID'))",
+    "with x as (select java_method('java.util.UUID', 'randomUUID') as u) select * from x",
+    "select (select max(reflect('java.lang.String', 'valueOf', id)) from code_vertex)",
+    "select * from (select transform(id) using 'cat' as (a) from code_vertex)",
+])
+def test_plan_gate_refuses(spark, graph_tables, call):
+    with pytest.raises(ValueError):
+        query_graph(spark, graph_tables, call)
+
+
+def test_plan_gate_passes(spark, graph_tables):
+    spark.range(3).createOrReplaceTempView("edge")
+    hop = "select b.target_id from code_edge a join code_edge b on b.source_id = a.target_id where a.source_id = 'foo'"
+    assert query_graph(spark, graph_tables, hop).collect() == [("baz",)]
+    reach = "with recursive r(id, n) as (select 'foo', 0 union all select e.target_id, r.n + 1 from r join code_edge e on e.source_id = r.id where r.n < 5) select id from r where id in (select id from code_vertex)"
+    assert {r.id for r in query_graph(spark, graph_tables, reach).collect()} == {"foo", "bar", "baz"}
+    assert query_graph(spark, graph_tables, "select id from code_vertex order by id", 1).collect() == [("bar",)]
+    assert query_graph(spark, graph_tables, "values (1), (2)").count() == 2
+    assert spark.table("edge").count() == 3
+
+
 def test_gate_passes():
     assert check_read_only(" select 1 ; ") == "select 1"
 
@@ -262,3 +302,48 @@ def test_bm25_documents_finds_words_of_any_script(spark, tmp_path):
 def test_implementors_of_a_deep_hierarchy(spark):
     told = spark.createDataFrame([(f"n{k + 1}", f"n{k}", "implements") for k in range(14)], "source_id string, target_id string, type string")
     assert traverse.implementors(told).where("target_id = 'n0'").count() == 14
+
+
+def test_resolution_goes_by_priority(spark):
+    told = [("x", "function", "loadCache", "p/a.ts"), ("file:p/a.ts", "file", "a.ts", "p/a.ts"), ("y", "function", "cacheOf", "p/b.ts"), ("z", "function", None, None), ("p/c.ts", "file", "c", "p/c.ts")]
+    v = spark.createDataFrame(told, "id string, kind string, name string, file_path string")
+    asked = spark.createDataFrame([(a,) for a in ("x", "p/a.ts", "p/b.ts", "CACHE", "ca", "e", "nothing", "", None, "p/c.ts")], "asked string")
+    got = lookup.resolved(asked, v)
+    assert rows(got) == sorted([
+        ("x", "x", "id"), ("p/a.ts", "file:p/a.ts", "file"), ("p/b.ts", "y", "path"), ("CACHE", "x", "name"), ("CACHE", "y", "name"), ("ca", "x", "name"), ("ca", "y", "name"),
+        ("e", "x", "name"), ("e", "y", "name"), ("nothing", "nothing", "none"), ("", "", "none"), ("p/c.ts", "p/c.ts", "id"),
+    ])
+    edges = spark.createDataFrame([("x", "y", "calls"), ("x", "y", "reads"), ("z", "x", "calls"), ("x", "gone", "calls")], "source_id string, target_id string, type string")
+    near = lookup.neighbours(got.where("asked = 'x'"), edges, v)
+    assert rows(near.select("direction", "id")) == [("dependency", "y"), ("dependent", "z")]
+    assert lookup.resolved(asked.limit(0), v).isEmpty()
+
+
+def test_flows_of_many_entries(spark):
+    rnd = random.Random(12)
+    links = {(f"n{rnd.randrange(150)}", f"n{rnd.randrange(150)}") for _ in range(170)}
+    edges = spark.createDataFrame([(a, b, "calls") for a, b in links] + [("n3", "error:x", "returns"), ("n4", "n5", "reads")], "source_id string, target_id string, type string")
+    fns = spark.createDataFrame([(f"n{k}", k % 40 == 0) for k in range(150)], "id string, is_async boolean")
+    entries = spark.createDataFrame([(f"n{k}",) for k in range(150)] + [("alone",), (None,)], "node string")
+    want = set()
+    for e in [f"n{k}" for k in range(150)] + ["alone"]:
+        seen, front, d = {e: 0}, [e], 0
+        while front and d < 4:
+            d += 1
+            front = [b for b in {b for a, b in links if a in front} if b not in seen]
+            seen |= {b: d for b in front}
+        want.add((e, len(seen), max(seen.values()), any(k[1:].isdigit() and int(k[1:]) % 40 == 0 for k in seen), "n3" in seen))
+    assert {tuple(r) for r in traverse.execution_flows(entries, edges, fns, 4).collect()} == want
+
+
+def test_topological_levels(spark):
+    links = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "c"), ("c", "c"), ("p", "q"), ("q", "p"), ("q", "r"), (None, "a")], "src string, dst string")
+    got = {r.node: r.level for r in traverse.topological_levels(links.dropna()).collect()}
+    assert got == {"a": 0, "b": 1, "c": 2, "p": None, "q": None, "r": None}
+
+
+def test_salted_join(spark):
+    left = spark.createDataFrame([("hot" if k % 3 else f"k{k}", k) for k in range(300)] + [(None, 1)], "key string, n long")
+    right = spark.createDataFrame([("hot", "h"), ("k3", "x"), (None, "y")], "key string, v string")
+    heavy = skew.heavy_keys(left, ["key"])
+    assert heavy and rows(skew.salted_join(left, right, "key", ["n"], heavy)) == rows(left.join(right, "key"))
