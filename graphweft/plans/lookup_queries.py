@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import texts
@@ -10,7 +10,7 @@ from ..functions.names import canonical_path, label
 from ..operators import context, health, lookup, search, sessions, store, traverse
 from ..sources.graph import edges, functions, vertices
 from ..sources.tables import table
-from .activity_queries import _OBS, _observations
+from .activity_queries import _OBS, AFTER, BEFORE, _as_of, _observations
 from .graph_queries import _COUPLING, _CYCLES, _LAST, BASE, _dead, _handlers, _path, _reach
 
 #: A file is worked on again below this stage; a function is an entry above this score; flows end after so many edges.
@@ -146,8 +146,6 @@ def session_rows(spark: SparkSession, d: str) -> DataFrame:
 
 def top_files(spark: SparkSession, d: str) -> DataFrame:
     """The five files that each session attends to most at its end, of equal accesses the last, then by name."""
-    from pyspark.sql import Window
-
     place = F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("accesses"), F.desc("last_tick"), "file_path"))
     return sessions.attention(_observations(spark, d)).withColumn("place", place).where(F.col("place") <= 5).select("session_id", "place", "file_path", "accesses")
 
@@ -161,7 +159,7 @@ def work_list(spark: SparkSession, d: str) -> DataFrame:
 def changed_vertices(spark: SparkSession, d: str) -> DataFrame:
     """Vertices that are new or have another hash than at the earlier instant."""
     nodes = table(spark, d, "nodes")
-    found = store.difference(store.as_of(nodes, "2025-06-01 00:00:00"), store.as_of(nodes, "2025-09-01 00:00:00"))
+    found = store.difference(store.as_of(nodes, BEFORE), store.as_of(nodes, AFTER))
     return found.where("change in ('added', 'changed')").select("id")
 
 
@@ -330,6 +328,7 @@ a as (select session_id, file_path, count(*) as accesses, max(tick) as last_tick
 select session_id, place, file_path, accesses from (select *, row_number() over (partition by session_id order by accesses desc, last_tick desc, file_path) as place from a) where place <= 5""",
     "work_list": f"""with p as (select file_path, case when json_valid(metadata) then (metadata::json->>'$.stage')::int end as stage from nodes where deleted_at is null and file_path is not null)
 select file_path, coalesce(max(stage), 0) as stage from p group by 1 having coalesce(max(stage), 0) < {STAGE}""",
+    "changed_vertices": f"with {_as_of('a', BEFORE)}, {_as_of('b', AFTER)} select b.id from b left join a on a.id = b.id where a.id is null or a.digest <> b.digest",
     "inserted_edges": f"with {_LOADED_SQL} select type, count(*) as n_edges, count(*) filter (old is null) as n_inserted from k group by 1",
     "edges_after_prefix_delete": f"{_W} select type, count(*) as n_edges from edge where not (starts_with(source_id, 'fn:') and split_part(source_id[4:], ':', 1) in ({_LAST})) group by 1",
     "replaced_files": f"""with r as (select distinct id, file_path, indexed_at, indexed_at > timestamp '{LOADED}' as late from nodes where id is not null and indexed_at is not null)

@@ -20,7 +20,7 @@ _PATHS = re.compile(r"\b(parquet|csv|json|orc|text|avro|binaryfile)\s*\.\s*`|\br
 #: Expressions and plans that call code by its name or run programs.
 _CALLS = frozenset({"CallMethodViaReflection", "TryReflect", "ScriptTransformation", "ScriptInputOutputSchema"})
 #: Leaves of a plan that come from the statement alone or from the views.
-_OWN = frozenset({"LogicalRelation", "LogicalRDD", "LocalRelation", "OneRowRelation", "Range", "CTERelationRef", "ResolvedInlineTable", "EmptyRelation"})
+_OWN = frozenset({"LogicalRelation", "LogicalRDD", "LocalRelation", "OneRowRelation", "Range", "CTERelationRef", "ResolvedInlineTable", "EmptyRelation", "UnionLoopRef"})
 
 
 def register(spark: SparkSession, d: str) -> None:
@@ -36,6 +36,15 @@ def _items(seq: Any) -> list:
     return [seq.apply(k) for k in range(seq.size())]
 
 
+def _kin(cls: Any) -> set[str]:
+    """Names of the interfaces and classes that a class extends."""
+    names = set()
+    while cls is not None:
+        names |= {cls.getSimpleName(), *(c.getSimpleName() for c in cls.getInterfaces())}
+        cls = cls.getSuperclass()
+    return names
+
+
 def check_plan(df: DataFrame, folder: str) -> None:
     """An error if the analysed plan calls Java methods or programs, is a command, or reads other files than those of ``folder``.
 
@@ -46,11 +55,10 @@ def check_plan(df: DataFrame, folder: str) -> None:
     while todo:
         node = todo.pop()
         kind = node.getClass().getSimpleName()
-        names = {c.getSimpleName() for c in node.getClass().getInterfaces()}
+        names = _kin(node.getClass())
         if kind in _CALLS or kind.endswith("Command") or "Command" in names:
             raise ValueError(f"not read-only: {kind}")
-        plan = hasattr(node, "expressions") and "plans.logical" in node.getClass().getName() or "datasources" in node.getClass().getName() or kind == "LogicalRDD"
-        if plan:
+        if "LogicalPlan" in names:
             inner = _items(node.expressions())
             leaf = node.children().isEmpty()
             if leaf and kind not in _OWN:
@@ -60,7 +68,7 @@ def check_plan(df: DataFrame, folder: str) -> None:
                     if not path.toUri().getPath().startswith(folder.removeprefix("file://").rstrip("/") + "/"):
                         raise ValueError("files cannot be read from a statement")
             todo += inner + _items(node.innerChildren())
-        elif "SubqueryExpression" in names or kind.endswith("Subquery") or kind in ("ListQuery", "Exists"):
+        elif "PlanExpression" in names:
             todo.append(node.plan())
         todo += _items(node.children())
 
