@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
-from .skew import is_heavy, key_hash, tasks_of
+from .skew import heavy_keys, is_heavy, tasks_of
 
 #: Ids with these prefixes stand for things that are never records (fixed values of the data model).
 PSEUDO_PREFIXES = ("param:", "field:", "error:")
@@ -81,41 +81,49 @@ def orphan_groups(refs: DataFrame, records: DataFrame) -> tuple[DataFrame, list[
 
     References are aggregated per key, side and period with their number and their first and
     last time. Skew-aware split: keys that hold more references than an average task (fewer
-    than tasks) are checked against a broadcast of just their spells, if these are few enough,
-    all other keys in a shuffled anti-join; both are united.
+    than tasks) are aggregated before their shuffle and checked against a broadcast of just
+    their spells, if these are few enough; all other keys are shuffled once, by the key alone,
+    which serves their aggregation as well as the anti-join. Both are united.
     """
-    groups = refs.groupBy("key", "side", "period").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"), F.max("at").alias("last"))
-    groups = written(groups)
-    share = groups.agg(F.sum("n")).first()[0] or 0
-    per_key = groups.groupBy("key").agg(F.sum("n").alias("n"))
-    heavy = [r.h for r in per_key.where(F.col("n") * tasks_of(refs.sparkSession) > share).select(key_hash(["key"]).alias("h")).collect()]
-    if not heavy:
-        return written(_judged(groups, records, False)), heavy
+    heavy = heavy_keys(refs, ["key"])
     hot = is_heavy(["key"], heavy)
+
+    def grouped(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("key", "side", "period").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"), F.max("at").alias("last"))
+
+    light = _judged(grouped(refs.where(~hot).repartition("key")), records.where(~hot), False)
+    if not heavy:
+        return written(light), heavy
     few = records.where(hot).limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    both = _judged(groups.where(hot), records.where(hot), few).unionByName(_judged(groups.where(~hot), records.where(~hot), False))
-    return written(both), heavy
+    return written(light.unionByName(_judged(grouped(refs.where(hot)), records.where(hot), few))), heavy
 
 
 def _edges_of(refs: DataFrame, groups: DataFrame, records: DataFrame, heavy: list[int]) -> DataFrame:
     """The orphans ``(ref_id, side, key, at, period, kind)`` among the references of ``groups``.
 
-    References of heavy keys are salted by their id and the few groups of these keys repeated
-    for each salt, so that no task gets all of a key. Only in mixed groups is each reference
-    held against the spells of its id.
+    Few groups are broadcast, so that references stay where they are read. If there are more
+    than ``BROADCAST_ROWS``, references are shuffled, those of heavy keys salted by their id
+    and the groups of these keys repeated for each salt, so that no task gets all of a key.
+    The references found are written; only those of mixed groups are then held against the
+    spells of their ids.
     """
-    salts = tasks_of(refs.sparkSession)
-    none = F.lit(0).cast("long")
-    salt = F.when(is_heavy(["key"], heavy), F.pmod(F.xxhash64("ref_id"), F.lit(salts))).otherwise(none)
-    every = F.when(is_heavy(["key"], heavy), F.sequence(none, F.lit(salts - 1).cast("long"))).otherwise(F.array(none))
-    g = groups.select("key", "side", "period", "ended", "kind", F.explode(every).alias("salt")).alias("g")
+    few = groups.count() <= BROADCAST_ROWS
+    salts, none = tasks_of(refs.sparkSession), F.lit(0).cast("long")
+    hot = F.lit(False) if few else is_heavy(["key"], heavy)
+    salt = F.when(hot, F.pmod(F.xxhash64("ref_id"), F.lit(salts))).otherwise(none)
+    every = F.when(hot, F.sequence(none, F.lit(salts - 1).cast("long"))).otherwise(F.array(none))
+    g = groups.select("key", "side", "period", "ended", "kind", F.explode(every).alias("salt"))
+    g = (F.broadcast(g) if few else g).alias("g")
     same = [F.col(f"r.{c}").eqNullSafe(F.col(f"g.{c}")) if c == "period" else F.col(f"r.{c}") == F.col(f"g.{c}") for c in ("key", "side", "period", "salt")]
-    rows = refs.withColumn("salt", salt).alias("r").join(g, same).select("r.ref_id", "r.side", "r.key", "r.at", "r.period", "r.salt", "g.ended", "g.kind")
+    rows = refs.withColumn("salt", salt).alias("r").join(g, same).select("r.ref_id", "r.side", "r.key", "r.at", "r.period", "g.ended", "g.kind")
+    rows = written(rows)
     columns = ["ref_id", "side", "key", "at", "period", "kind"]
-    mixed = rows.where("kind = 'mixed'").alias("m")
-    s = records.join(groups.where("kind = 'mixed'").select("key").distinct(), "key").withColumn("salt", F.explode(every)).alias("s")
-    there = (F.col("m.key") == F.col("s.key")) & (F.col("m.salt") == F.col("s.salt")) & _begun(F.col("m.at")) & _lasts(F.col("m.at"))
-    absent = mixed.join(s, there, "left_anti").withColumn("kind", F.when(F.col("ended") <= F.col("at"), "deleted").otherwise("later"))
+    s = records.join(groups.where("kind = 'mixed'").select("key").distinct(), "key", "left_semi")
+    if heavy and s.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:  # a heavy key may be mixed
+        s = F.broadcast(s)
+    s = s.alias("s")
+    there = (F.col("m.key") == F.col("s.key")) & _begun(F.col("m.at")) & _lasts(F.col("m.at"))
+    absent = rows.where("kind = 'mixed'").alias("m").join(s, there, "left_anti").withColumn("kind", F.when(F.col("ended") <= F.col("at"), "deleted").otherwise("later"))
     return rows.where("kind <> 'mixed'").select(columns).unionByName(absent.select(columns))
 
 
