@@ -38,13 +38,13 @@ class Classifier:
     """Multinomial naive Bayes over hashed token ids."""
 
     log_prior: np.ndarray  # (domains,)
-    log_word: np.ndarray  # (domains, features)
+    log_word: np.ndarray  # (features, domains)
     sharpness: tuple[float, float] = SHARPNESS[0]
     #: Share of texts that speak for a wrong domain.
     error: float = 0.0
 
     def logs(self, ids: np.ndarray) -> np.ndarray:
-        return self.log_word[:, ids % self.log_word.shape[1]].sum(axis=1) if len(ids) else np.zeros(len(self.log_prior))
+        return self.log_word[ids % len(self.log_word)].sum(axis=0, dtype=np.float64)
 
     def posterior(self, ids: np.ndarray, sharpness: tuple[float, float] | None = None) -> np.ndarray:
         factor, power = sharpness or self.sharpness
@@ -78,13 +78,13 @@ def fit_classifier(rows: DataFrame, domains: int, vocabulary: str, features: int
     word = np.full((domains, features), 0.1)
     np.add.at(word, (found["domain"].to_numpy(int), found["feature"].to_numpy(int)), found["n"].to_numpy(float))
     prior = np.array([sizes.get(k, 0) + 0.5 for k in range(domains)])
-    model = Classifier(np.log(prior / prior.sum()), np.log(word / word.sum(axis=1, keepdims=True)).astype(np.float32))
+    model = Classifier(np.log(prior / prior.sum()), np.ascontiguousarray(np.log(word / word.sum(axis=1, keepdims=True)).T, dtype=np.float32))
 
     def losses(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, wrong, n = np.zeros(len(SHARPNESS)), np.zeros(len(SHARPNESS)), 0
         for b in batches:
             for k, ids in zip(b["domain"], b["ids"]):
-                p = np.stack([model.posterior(np.asarray(ids), s) for s in SHARPNESS])
+                p = np.stack([model.posterior(np.asarray(ids, dtype=np.int64), s) for s in SHARPNESS])
                 total += np.log(p[:, k] + 1e-12)
                 wrong += p.argmax(axis=1) != k
                 n += 1
@@ -105,7 +105,7 @@ def membership(model: Classifier, ids: list[int], domain: int | None, noise: flo
     label decides most of it, and all where the text does not speak against it.
     """
     prior = np.exp(model.log_prior)
-    p = (1.0 - model.error) * model.posterior(np.asarray(ids)) + model.error * prior
+    p = (1.0 - model.error) * model.posterior(np.asarray(ids, dtype=np.int64)) + model.error * prior
     if domain is not None:
         channel = np.full(len(p), noise * prior[domain])
         channel[domain] += 1.0 - noise
