@@ -5,11 +5,11 @@ from __future__ import annotations
 import random
 import re
 import unicodedata
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import accumulate
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -37,6 +37,8 @@ HIDDEN = 0.2
 START = 2.0
 #: What it starts from besides: forms of abbreviated names and titles before a capital, of which a corpus may hold none.
 PRIOR = {"brief=initial": -40.0, "brief=initials": -40.0, "brief=title": -40.0}
+#: Words that a task remembers the forms of.
+REMEMBERED = 50_000
 #: Characters on each side that the features of a place look at, besides its word.
 LOOK = 64
 
@@ -138,6 +140,7 @@ def _pairs(block: str) -> list[tuple[int, int]]:
     return found
 
 
+@lru_cache(REMEMBERED)
 def _shape(word: str) -> str:
     """What kind of word begins here."""
     core = word.lstrip("`¿¡")
@@ -160,6 +163,7 @@ def _shape(word: str) -> str:
     return "uncased"
 
 
+@lru_cache(REMEMBERED)
 def _known(word: str) -> str:
     """A word as a feature: lower case, digits alike, names and what is no word apart."""
     if re.search(r"[a-z][A-Z]|\.\w{2,}$", word):
@@ -167,6 +171,7 @@ def _known(word: str) -> str:
     return re.sub(r"\d", "0", word.lower()) if len(word) <= LOOK else "<long>"
 
 
+@lru_cache(REMEMBERED)
 def _form(word: str) -> str:
     """The form of a word, whatever word it is: script, case and length."""
     if not word:
@@ -237,25 +242,22 @@ def places(block: str, blanks: bool = False) -> list[Place]:
         spots.sort(key=lambda s: s[1])
     if not spots:
         return []
-    depth = [0] * (len(block) + 1)
-    for b, a in opened.items():
-        depth[a + 1] += 1
-        depth[b] -= 1
-    depth = list(accumulate(depth))
+    begun, ended = sorted(a + 1 for a in opened.values()), sorted(opened)
     last = trimmed(block, 0, len(block))[1]
     tokens = [m.span() for m in _TOKEN.finditer(block, begin)]
     starts = [a for a, _ in tokens]
-    return [_place(block, begin, depth, opened, runs, tokens, starts, *spot) for spot in spots if spot[1] < last]
+    return [_place(block, begin, begun, ended, opened, runs, tokens, starts, *spot) for spot in spots if spot[1] < last]
 
 
 def _place(
-    block: str, begin: int, depth: list[int], opened: dict[int, int], runs: dict[int, tuple[str, str]],
+    block: str, begin: int, begun: list[int], ended: list[int], opened: dict[int, int], runs: dict[int, tuple[str, str]],
     tokens: list[tuple[int, int]], starts: list[int], at: int, end: int, marks: str,
 ) -> Place:
     start = _VISIBLE.search(block, end).start()
+    inside = bisect_right(begun, end - 1) > bisect_right(ended, end - 1)  # of more pairs begun than ended
     if marks == " ":
         features, words = _blank_features(*runs[end])
-        return Place(end, start, features + [f"inside={depth[end - 1] > 0}"], words)
+        return Place(end, start, features + [f"inside={inside}"], words)
     following = _RUN.match(block, start, start + LOOK).group()
     shape = _shape(following)
     kind = "dots" if marks in ("...", "…", "……", "..") else "stop" if set(marks) <= {"."} else "strong"
@@ -268,7 +270,6 @@ def _place(
         if k >= 0 and len(word) <= LOOK:
             previous = block[tokens[k][0] : min(tokens[k][1], tokens[k][0] + LOOK)].rstrip(".")
     known, form = _known(word), _form(word)
-    inside = depth[end - 1] > 0
     closed = [opened[k] for k in range(at, end) if k in opened]
     quote = context = ""
     if closed:
@@ -329,7 +330,7 @@ class Tagger:
         if not chain:
             return []
         w, t = self.weights, self.moves
-        scores = [sum(w.get(f, 0.0) for f in features) for features in chain]
+        scores = [sum([w.get(f, 0.0) for f in features]) for features in chain]
         if against is not None:
             scores = [s - MARGIN if truth else s + MARGIN for s, truth in zip(scores, against)]
         best = [-scores[0], scores[0]]
