@@ -219,9 +219,9 @@ def node_search(spark: SparkSession, d: str) -> DataFrame:
 
 
 def node_search_by_part(spark: SparkSession, d: str) -> DataFrame:
-    """What is asked for and no vertex's word is: the first ten vertices by id whose name holds it, scored by their place."""
-    found, asked = vertices(spark, d), _asked(spark, d)
-    return search.by_part(asked, found.select("id", "name"))
+    """Parts of the names of entry functions that are no word of a name: the first ten vertices by id whose name holds one, scored by their place."""
+    parts = table(spark, d, "nodes_function").where("is_entry_point").select(F.substring("name", 2, 6).alias("asked")).distinct()
+    return search.by_part(parts, vertices(spark, d).select("id", "name"))
 
 
 QUERIES = {
@@ -341,7 +341,7 @@ t as (select id, unnest(ws) as term from w) select term, count(distinct id) as n
 {_field('bn', 'name')}, {_field('bp', 'file_path')},
 b as (select query, doc, max(score) as score from (select * from bn union all select * from bp) group by all)
 select * from (select query, doc, score, row_number() over (partition by query order by score desc, doc) as rank from b) where rank <= 10""",
-    "node_search_by_part": f"""{_W}, {_ASKED}, wd as (select distinct unnest([x for x in regexp_split_to_array(lower(name), '[^a-z0-9]+') if x <> '']) as w from vertex where name is not null),
+    "node_search_by_part": f"""{_W}, asked as (select distinct substring(name, 2, 6) as q from nodes_function where is_entry_point and name is not null), wd as (select distinct unnest([x for x in regexp_split_to_array(lower(name), '[^a-z0-9]+') if x <> '']) as w from vertex where name is not null),
 rest as (select q from asked where not list_has_any([x for x in regexp_split_to_array(lower(q), '[^a-z0-9]+') if x <> ''], (select list(w) from wd)))
 select query, doc, round(1.0::double / rank, 6) as score, rank from (
   select q as query, id as doc, row_number() over (partition by q order by id) as rank from (select distinct q, id from rest join vertex on q <> '' and contains(lower(name), lower(q)))) where rank <= 10""",

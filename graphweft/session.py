@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_FOLDERS: set[str] = set()
+
+
 def shared_checkpoints(spark: SparkSession) -> None:
     """Make ``DataFrame.checkpoint`` usable.
 
@@ -34,16 +38,36 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _own_folder(spark: SparkSession) -> str:
+    """The application's folder of tables under the shared checkpoint folder, deleted when it ends."""
+    folder = f"{spark.sparkContext.getCheckpointDir()}/tables"
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+
+        def clear() -> None:
+            with suppress(Exception):  # the JVM may be gone before
+                _delete(spark, folder)
+
+        atexit.register(clear)
+    return folder
+
+
 def written(df: DataFrame, folder: str | None = None, name: str | None = None) -> DataFrame:
     """``df`` as a Parquet table in a folder of its own under the shared checkpoint folder, or in ``name`` under ``folder``.
 
     Like ``checkpointed``, but computed once and read back by column, and without what Spark has
     inferred about ``df``: in long loops rounds on checkpoints
-    became slower and slower, probably by such inferred predicates.
+    became slower and slower, probably by such inferred predicates. Without ``folder`` it is
+    deleted when the application ends.
     """
     spark = df.sparkSession
     shared_checkpoints(spark)
-    path = f"{folder or spark.sparkContext.getCheckpointDir()}/{name or uuid.uuid4().hex}"
+    path = f"{folder or _own_folder(spark)}/{name or uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -56,5 +80,4 @@ def scratch(spark: SparkSession) -> Iterator[str]:
     try:
         yield folder
     finally:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, folder)
