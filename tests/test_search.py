@@ -91,3 +91,11 @@ def test_bm25_documents_shuffles_no_pairs(spark, tmp_path):
     found = activity_queries.bm25_documents(spark, str(tmp_path))
     assert found.count() == 10 * ASKED
     assert shuffled(spark) - before < ASKED * len(TEXTS) / 2
+
+
+def test_hybrid_documents_shuffles_no_pairs(spark, tmp_path):
+    told = [(100 * k if k < ASKED else 100 * k + 1, t, "wiki", f"p/{k}.ts") for k, t in TEXTS]
+    spark.createDataFrame(told, "doc_id long, text string, source string, file_path string").write.parquet(str(tmp_path / "documents.parquet"))
+    before = shuffled(spark)
+    assert activity_queries.hybrid_documents(spark, str(tmp_path)).count() == 10 * ASKED
+    assert shuffled(spark) - before < ASKED * len(TEXTS)
