@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -47,8 +48,9 @@ def attention_weights(stream: DataFrame) -> DataFrame:
     event of the file between loses nothing, each full minute since its last event loses
     ``DECAY``; a weight of ``LEAST`` or less starts anew. Events count in the order of their
     time, then ``id``, in whatever order and batches they arrive: state is what the events before
-    the watermark came to, and the later ones as they are. A key is let go when the watermark,
-    ``KEEP_DAYS`` behind the latest event, is as long past its last one.
+    the watermark came to, and the later ones as they are. A file is let go when the watermark,
+    ``KEEP_DAYS`` behind the latest event, is as long past its last one. The state of all files of
+    a session is kept together, so that Python is called once a session and batch, not once a file.
     """
 
     def folded(came: tuple, events: Iterator[tuple]) -> tuple:
@@ -64,32 +66,38 @@ def attention_weights(stream: DataFrame) -> DataFrame:
         return float(weight), int(accesses), bool(edited), int(last)
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        *came, held = state.get if state.exists else (0.0, 0, False, 0, "[]")
-        events = [tuple(e) for e in json.loads(held)]
-        for batch in batches:
-            events += [(int(at), int(i), None if pd.isna(e) else e) for at, i, e in batch[["instant", "id", "event"]].itertuples(index=False)]
-        events.sort(key=lambda e: e[:2])
         mark = state.getCurrentWatermarkMs()
-        came = folded(came, (e for e in events if e[0] < mark))
-        held = [e for e in events if e[0] >= mark]
-        weight, accesses, edited, last = folded(came, held)
-        state.update((*came, json.dumps(held)))
-        state.setTimeoutTimestamp(max(last, mark) + KEEP_DAYS * 86_400_000)
-        yield pd.DataFrame({"session_id": [key[0]], "file_path": [key[1]], "weight": [round(weight, 6)], "accesses": [accesses], "edited": [edited]})
+        files = json.loads(state.get[0]) if state.exists else {}
+        fresh = defaultdict(list)
+        for batch in batches:
+            for file, at, i, event in zip(*(batch[c].tolist() for c in ("file_path", "instant", "id", "event"))):
+                fresh[file].append((int(at), int(i), None if pd.isna(event) else event))
+        files = {file: kept for file, kept in files.items() if file in fresh or kept[-1] >= mark}
+        found = []
+        for file, events in fresh.items():
+            *came, held, _ = files.get(file, (0.0, 0, False, 0, [], 0))
+            events = sorted([*(tuple(e) for e in held), *events], key=lambda e: e[:2])
+            came = folded(came, (e for e in events if e[0] < mark))
+            held = [e for e in events if e[0] >= mark]
+            weight, accesses, edited, last = folded(came, held)
+            files[file] = (*came, held, max(last, mark) + KEEP_DAYS * 86_400_000)
+            found.append((key[0], file, round(weight, 6), accesses, edited))
+        if files:
+            state.update((json.dumps(files),))
+            state.setTimeoutTimestamp(max(min(kept[-1] for kept in files.values()), mark + 1))
+        elif state.exists:
+            state.remove()
+        if found:
+            yield pd.DataFrame(found, columns=["session_id", "file_path", "weight", "accesses", "edited"])
 
     return (
         stream.withWatermark("event_time", f"{KEEP_DAYS} days")
         .where("id is not null and session_id is not null and file_path is not null and instant is not null")
         .dropDuplicatesWithinWatermark(["id"])
-        .groupBy("session_id", "file_path")
-        .applyInPandasWithState(
-            fold, "session_id string, file_path string, weight double, accesses long, edited boolean",
-            "weight double, accesses long, edited boolean, last long, held string", "update", GroupStateTimeout.EventTimeTimeout,
-        )
-    )
+        .select("session_id", "file_path", "instant", "id", "event", "event_time")
+        .groupBy("session_id")
+        .applyInPandasWithState(fold, "session_id string, file_path string, weight double, accesses long, edited boolean", "files string", "update", GroupStateTimeout.EventTimeTimeout)
+    )
 
 
 def run_updates(stream: DataFrame, keys: list[str]) -> DataFrame:
