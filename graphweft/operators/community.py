@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +13,8 @@ from ..session import scratch, written
 
 #: Rows up to which a side of a join is broadcast in the search for shortest paths.
 NARROW = 50_000
+#: Links that every task may hold at most in the search for shortest paths (some 50 MB).
+MOST_LINKS = 1 << 22
 
 
 def simple_projection(links: DataFrame) -> DataFrame:
@@ -148,14 +154,66 @@ def _passed(step: DataFrame, pivots: DataFrame, folder: str) -> DataFrame:
     return spark.read.schema(below.schema).parquet(f"{folder}/passed").where("passed > 0").select("node", "passed")
 
 
-def betweenness(links: DataFrame, pivots: DataFrame, batch: int = 1 << 18) -> DataFrame:
+def _paths_from(pivot: int, at: np.ndarray, to: np.ndarray, dist: np.ndarray, paths: np.ndarray, mark: np.ndarray, total: np.ndarray) -> None:
+    """Add to ``total`` how many shortest paths from ``pivot`` pass each node; links of node ``k`` are ``to[at[k]:at[k + 1]]``.
+
+    ``dist`` is -1 and ``paths`` 0 everywhere, before and after.
+    """
+    front, levels, fronts = np.array([pivot]), [], []
+    dist[pivot], paths[pivot] = 0, 1.0
+    while len(front):
+        fronts.append(front)
+        sizes = at[front + 1] - at[front]
+        dst = to[np.arange(sizes.sum()) + np.repeat(at[front] - np.cumsum(sizes) + sizes, sizes)]
+        new = dist[dst] < 0
+        src, dst = np.repeat(front, sizes)[new], dst[new]
+        np.add.at(paths, dst, paths[src])
+        dist[dst] = len(fronts)
+        place = np.arange(len(dst))
+        mark[dst] = place
+        levels.append((src, dst))
+        front = dst[mark[dst] == place]  # each once
+    passed = np.zeros_like(paths) if len(levels) > 2 else None
+    if passed is not None:
+        for src, dst in levels[::-1][1:]:  # the last level reached nothing
+            np.add.at(passed, src, paths[src] / paths[dst] * (1 + passed[dst]))
+        passed[pivot] = 0
+        total += passed
+    for front in fronts:
+        dist[front], paths[front] = -1, 0.0
+
+
+def _passed_in_tasks(step: DataFrame, starts: DataFrame) -> DataFrame:
+    """``(node, passed)``, maybe several of a node: like ``_passed``, with all links in every task, which takes its share of the pivots one by one."""
+    spark = step.sparkSession
+    links = step.toArrow()
+    src, dst = (links[c].to_numpy() for c in ("src", "dst"))
+    nodes = np.unique(np.concatenate([src, dst]))
+    src, dst = np.searchsorted(nodes, src), np.searchsorted(nodes, dst)
+    order = np.argsort(src, kind="stable")
+    held = spark.sparkContext.broadcast((nodes, np.searchsorted(src[order], np.arange(len(nodes) + 1)), dst[order].astype(np.int32)))
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes, at, to = held.value
+        dist, paths, mark, total = np.full(len(nodes), -1, np.int32), np.zeros(len(nodes)), np.zeros(len(nodes), np.int64), np.zeros(len(nodes))
+        for batch in batches:
+            for pivot in np.searchsorted(nodes, batch["node"].to_numpy()):
+                _paths_from(int(pivot), at, to, dist, paths, mark, total)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(total[some])], names=["node", "passed"])
+
+    return starts.repartition(4 * spark.sparkContext.defaultParallelism).mapInArrow(summed, "node long, passed double")
+
+
+def betweenness(links: DataFrame, pivots: DataFrame, batch: int = 1 << 18, most: int = MOST_LINKS) -> DataFrame:
     """``(node, betweenness)``: how many shortest paths from ``pivots (node)`` over ``links (src, dst)`` pass each node.
 
     With all nodes as pivots this is the exact betweenness (not normalised); fewer are the usual
-    sample of it. Pivots go, by a hash, in batches of about ``batch``, each a breadth-first search
-    of all its pivots at once that counts shortest paths level by level until nothing new is
-    reached; then the levels hand their dependencies back, and batches are summed per node.
-    State is one row per pivot of the batch and node reached, and is deleted with its batch.
+    sample of it. Each is a breadth-first search that counts shortest paths level by level until
+    nothing new is reached; then the levels hand their dependencies back, and pivots are summed
+    per node. Up to ``most`` different links go to every task, which searches from its share of
+    the pivots. More links are joined level by level, for pivots in batches, by a hash, of about
+    ``batch``; state is one row per pivot of the batch and node reached, and is deleted with its batch.
     Nodes go by numbers meanwhile. Nodes that no path passes do not come out.
     """
     named = links.dropna(subset=["src", "dst"]).where("src <> dst").select("src", "dst").distinct()
@@ -165,11 +223,14 @@ def betweenness(links: DataFrame, pivots: DataFrame, batch: int = 1 << 18) -> Da
         step = written(step.select(F.col("a").alias("src"), F.col("b").alias("dst")), folder)
         starts = pivots.select("node").distinct().join(ids, "node").select(F.col("k").alias("node"))
         starts = written(starts.join(step.select(F.col("src").alias("node")), "node", "left_semi"), folder)
-        n_batches = max(1, -(-starts.count() // batch))
-        for k in range(n_batches):
-            with scratch(links.sparkSession) as own:
-                passed = _passed(step, starts.where(F.pmod(F.xxhash64("node"), F.lit(n_batches)) == k), own)
-                part = written(passed.groupBy("node").agg(F.sum("passed").alias("passed")), folder, f"sums/batch={k}")
+        if step.count() <= most:
+            part = written(_passed_in_tasks(step, starts).groupBy("node").agg(F.sum("passed").alias("passed")), folder, "sums/batch=0")
+        else:
+            n_batches = max(1, -(-starts.count() // batch))
+            for k in range(n_batches):
+                with scratch(links.sparkSession) as own:
+                    passed = _passed(step, starts.where(F.pmod(F.xxhash64("node"), F.lit(n_batches)) == k), own)
+                    part = written(passed.groupBy("node").agg(F.sum("passed").alias("passed")), folder, f"sums/batch={k}")
         every = links.sparkSession.read.schema(part.schema).parquet(f"{folder}/sums")
         whole = every.groupBy(F.col("node").alias("k")).agg(F.sum("passed").alias("betweenness"))
         return written(whole.join(ids, "k").select("node", "betweenness"))

@@ -149,3 +149,22 @@ def test_async_calls(spark):
     functions = spark.createDataFrame([("a", True), ("b", None), ("c", False)], "id string, is_async boolean")
     edges = spark.createDataFrame([("b", "a", "calls"), ("b", "c", "calls"), ("x", "a", "calls"), ("c", "a", "reads")], "source_id string, target_id string, type string")
     assert rows(context.async_calls(functions, edges)) == [("b", 2, 1)]
+
+
+def test_betweenness_takes_no_job_a_level(spark):
+    chain = [(f"c{k}", f"c{k + 1}") for k in range(30)]
+    pivots = spark.createDataFrame([("c0",), ("c1",)], "node string")
+    tracker = spark.sparkContext.statusTracker()
+    before = len(tracker.getJobIdsForGroup())
+    got = {r.node: r.betweenness for r in community.betweenness(links_of(spark, chain), pivots).collect()}
+    assert len(tracker.getJobIdsForGroup()) - before < 30
+    assert got == {f"c{k}": (30.0 - k) * (2 if k > 1 else 1) for k in range(1, 30)}
+
+
+def test_betweenness_of_links_that_are_too_many_for_a_task(spark):
+    draw = random.Random(6)
+    names = [f"n{k}" for k in range(10)]
+    pairs = [(draw.choice(names), draw.choice(names)) for _ in range(18)]
+    pivots = spark.createDataFrame([(s,) for s in names], "node string")
+    got = {r.node: round(r.betweenness, 9) for r in community.betweenness(links_of(spark, pairs), pivots, most=0).collect()}
+    assert got == pytest.approx(brute_betweenness(pairs, names))
