@@ -69,7 +69,8 @@ def bm25_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _asked_documents(docs: DataFrame, text: Column) -> DataFrame:
-    return docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query"), texts.letter_words(text).alias("terms")).where("terms is not null")
+    asks = F.col("doc_id") % 100 == 0  # also around the words, else every text is split before it is left out
+    return docs.where(asks).select(F.col("doc_id").alias("query"), F.when(asks, texts.letter_words(text)).alias("terms")).where("terms is not null")
 
 
 def bm25_documents(spark: SparkSession, d: str) -> DataFrame:
@@ -81,10 +82,8 @@ def bm25_documents(spark: SparkSession, d: str) -> DataFrame:
 def hybrid_documents(spark: SparkSession, d: str) -> DataFrame:
     """Both rankings of ``hybrid_rank`` for the words, of any script, of every hundredth text."""
     docs, text = table(spark, d, "documents"), F.col("text")
-    named = F.concat_ws(" ", "source", "file_path", text)
-    asked = _asked_documents(docs, text)
-    by_text = search.bm25(asked, docs, "doc_id", text, 20, texts.letter_words)
-    return search.fuse(by_text, search.bm25(asked, docs, "doc_id", named, 20, texts.letter_words))
+    parts = [text, F.concat_ws(" ", "source", "file_path")]
+    return search.fuse(*search.bm25_fields(_asked_documents(docs, text), docs, "doc_id", parts, [[0], [1, 0]], 20, texts.letter_words))
 
 
 def hybrid_rank(spark: SparkSession, d: str) -> DataFrame:

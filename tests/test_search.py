@@ -99,3 +99,50 @@ def test_hybrid_documents_shuffles_no_pairs(spark, tmp_path):
     before = shuffled(spark)
     assert activity_queries.hybrid_documents(spark, str(tmp_path)).count() == 10 * ASKED
     assert shuffled(spark) - before < ASKED * len(TEXTS)
+
+
+@pytest.mark.parametrize("repeat", [1, 2])
+def test_fields_of_shared_parts_equal_brute_force(spark, repeat):
+    texts, names = told(5, 300, repeat), told(6, 300, repeat)
+    asked = [(q, ["a", "b", "a", "cc"] if q % 3 else ["d", "ee", "missing", "zz"]) for q in range(7)] + [(8, []), (9, ["missing"])]
+    rows = [(d, a, b) for (d, a), (_, b) in zip(texts, names)]
+    both = [(d, " ".join(x for x in (b, a) if x is not None) if a is not None or b is not None else None) for d, a, b in rows]
+    table = spark.createDataFrame(rows, "id int, text string, name string")
+    found = search.bm25_fields(spark.createDataFrame(asked, "query int, terms array<string>"), table, "id", [F.col("text"), F.col("name")], [[0], [1, 0]], 20)
+    for field, docs in zip(found, (texts, both)):
+        assert {tuple(r) for r in field.select("query", "doc", "score", "rank").collect()} == brute(asked, docs, 20)[1]
+
+
+@pytest.mark.parametrize("dense", [1, 40])
+def test_screened_products_equal_brute_force(monkeypatch, dense):
+    for name, value in (("BAGS", 90), ("QUERIES", 8), ("DENSE", dense), ("PAIRS", 13)):
+        monkeypatch.setattr(search, name, value)
+    draw = np.random.default_rng(7)
+    holds, tf = draw.random((20, 30)) < np.linspace(0.1, 1, 30), draw.integers(0, 3, (400, 30))
+    tf[200:300] = tf[100:200]  # equal scores, of which the first count
+    code, query = np.nonzero(holds.T)
+    lists = lambda x: pa.array(x, pa.list_(pa.int32()))
+    codes = [np.flatnonzero(r) for r in tf]
+    batch = pa.RecordBatch.from_arrays([lists([[k] for k in range(400)]), lists(codes), lists([r[c] for r, c in zip(tf, codes)]), lists([[5] for _ in codes])], names=["docs", "codes", "tfs", "lengths"])
+    idf = np.linspace(0.01, 2, 30)
+    best, _ = search._scored((20, np.searchsorted(code, np.arange(31)), query), idf, 4.0, 3, iter([batch]))
+    weight = idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * 5 / 4))
+    scores = np.floor(weight @ holds.T * 1e6 + 0.5)
+    for q in range(20):
+        want = np.lexsort((np.arange(400), -scores[:, q]))[:3]
+        assert (best.bag[q] == want).all() and (best.score[q] == scores[want, q]).all()
+
+
+def test_hybrid_documents_splits_each_text_once(spark, tmp_path, monkeypatch):
+    told = [(k, t, "wiki", f"p/{k}.ts") for k, t in TEXTS]
+    spark.createDataFrame(told, "doc_id long, text string, source string, file_path string").write.parquet(str(tmp_path / "documents.parquet"))
+    split = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def counted(text):
+        split.add(len(text))
+        return text.split()
+
+    monkeypatch.setattr(activity_queries.texts, "letter_words", counted)
+    assert activity_queries.hybrid_documents(spark, str(tmp_path)).count() == 40
+    assert 0 < split.value < 1.5 * sum(len(t) + len(f"wiki p/{k}.ts") for k, t in TEXTS)
