@@ -13,8 +13,10 @@ from ..session import scratch, written
 
 #: Rows up to which a side of a join is broadcast in the search for shortest paths.
 NARROW = 50_000
-#: Links that every task may hold at most in the search for shortest paths (some 50 MB).
-MOST_LINKS = 1 << 22
+#: Links that every task may hold at most in the search for shortest paths (4 bytes each, and some 60 a node).
+MOST_LINKS = 1 << 23
+#: Links that a task follows at once at most, of all pivots that it searches from together (some 100 bytes each).
+MOST_AT_ONCE = 1 << 20
 
 
 def simple_projection(links: DataFrame) -> DataFrame:
@@ -154,51 +156,111 @@ def _passed(step: DataFrame, pivots: DataFrame, folder: str) -> DataFrame:
     return spark.read.schema(below.schema).parquet(f"{folder}/passed").where("passed > 0").select("node", "passed")
 
 
-def _paths_from(pivot: int, at: np.ndarray, to: np.ndarray, dist: np.ndarray, paths: np.ndarray, mark: np.ndarray, total: np.ndarray) -> None:
-    """Add to ``total`` how many shortest paths from ``pivot`` pass each node; links of node ``k`` are ``to[at[k]:at[k + 1]]``.
+def _spread(front: np.ndarray, at: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of all links from ``front``: the place in ``front`` of the one end, and the other end."""
+    sizes = at[front + 1] - at[front]
+    place = np.repeat(np.arange(len(front)), sizes)
+    return place, to[np.arange(len(place)) + (at[front] - np.cumsum(sizes) + sizes)[place]]
 
-    ``dist`` is -1 and ``paths`` 0 everywhere, before and after.
+
+def _paths_from_many(pivots: np.ndarray, at: np.ndarray, to: np.ndarray, total: np.ndarray, most: int) -> int:
+    """Add to ``total`` how many shortest paths from ``pivots`` pass each node, and give the number of links followed.
+
+    Links of node ``k`` are ``to[at[k]:at[k + 1]]``. All pivots go level by level together; state is
+    a number per pivot and node reached, so that work goes with what pivots reach and not with the size
+    of the graph. If they follow more than ``most`` links, nothing is added and the result is -1.
     """
-    front, levels, fronts = np.array([pivot]), [], []
+    n, followed, levels = len(at) - 1, 0, []
+    own, front, paths = np.arange(len(pivots)), pivots, np.ones(len(pivots))
+    seen, n_going = own * n + front, len(pivots)
+    while len(front):
+        followed += int((at[front + 1] - at[front]).sum())
+        if followed > most:
+            return -1
+        place, dst = _spread(front, at, to)
+        keys = own[place] * n + dst
+        new = seen[np.minimum(np.searchsorted(seen, keys), len(seen) - 1)] != keys
+        place = place[new]
+        found, which = np.unique(keys[new], return_inverse=True)
+        levels.append((front, paths, place, which))
+        paths = np.bincount(which, paths[place], len(found))
+        own, front = np.divmod(found, n)
+        going = np.unique(own)
+        if len(going) <= n_going // 2:  # what the others have seen is not asked any more
+            n_going, still = len(going), np.zeros(len(pivots), bool)
+            still[going] = True
+            seen = seen[still[seen // n]]
+        seen = np.concatenate([seen, found])
+        seen.sort(kind="stable")  # merges two runs
+    passed = np.zeros(0)
+    for front, before, place, which in levels[:0:-1]:  # the pivots themselves are not passed
+        passed = np.bincount(place, before[place] * ((1 + passed) / paths)[which], len(front))
+        np.add.at(total, front, passed)
+        paths = before
+    return followed
+
+
+def _paths_from(pivot: int, at: np.ndarray, to: np.ndarray, total: np.ndarray, most: int) -> None:
+    """Like ``_paths_from_many`` for one pivot that reaches much: a number per node of the graph, links in pieces of about ``most``."""
+    n, front, fronts = len(at) - 1, np.array([pivot]), []
+    dist, paths, mark, passed = np.full(n, -1, np.int32), np.zeros(n), np.zeros(n, np.int64), np.zeros(n)
     dist[pivot], paths[pivot] = 0, 1.0
+
+    def pieces(front: np.ndarray) -> Iterator[np.ndarray]:
+        ends = np.cumsum(at[front + 1] - at[front])
+        yield from np.split(front, np.searchsorted(ends, np.arange(most, ends[-1], most)))
+
     while len(front):
         fronts.append(front)
-        sizes = at[front + 1] - at[front]
-        dst = to[np.arange(sizes.sum()) + np.repeat(at[front] - np.cumsum(sizes) + sizes, sizes)]
-        new = dist[dst] < 0
-        src, dst = np.repeat(front, sizes)[new], dst[new]
-        np.add.at(paths, dst, paths[src])
-        dist[dst] = len(fronts)
-        place = np.arange(len(dst))
-        mark[dst] = place
-        levels.append((src, dst))
-        front = dst[mark[dst] == place]  # each once
-    passed = np.zeros_like(paths) if len(levels) > 2 else None
-    if passed is not None:
-        for src, dst in levels[::-1][1:]:  # the last level reached nothing
+        fresh = []
+        for some in pieces(front):
+            place, dst = _spread(some, at, to)
+            on = (dist[dst] < 0) | (dist[dst] == len(fronts))
+            np.add.at(paths, dst[on], paths[some[place[on]]])
+            dst = dst[dist[dst] < 0]
+            dist[dst] = len(fronts)
+            mark[dst] = np.arange(len(dst))
+            fresh.append(dst[mark[dst] == np.arange(len(dst))])  # each once
+        front = np.concatenate(fresh)
+    for level in range(len(fronts) - 1, 0, -1):
+        for some in pieces(fronts[level]):
+            place, dst = _spread(some, at, to)
+            on = dist[dst] == level + 1
+            src, dst = some[place[on]], dst[on]
             np.add.at(passed, src, paths[src] / paths[dst] * (1 + passed[dst]))
-        passed[pivot] = 0
-        total += passed
-    for front in fronts:
-        dist[front], paths[front] = -1, 0.0
+    total += passed
+
+
+def _paths_from_all(pivots: np.ndarray, at: np.ndarray, to: np.ndarray, total: np.ndarray, most: int = MOST_AT_ONCE) -> None:
+    """``_paths_from_many`` for as many pivots at once as follow about half of ``most`` links, ``_paths_from`` for one that follows more than ``most``."""
+    done, size = 0, 256
+    while done < len(pivots):
+        some = pivots[done : done + size]
+        followed = _paths_from_many(some, at, to, total, most)
+        if followed < 0 and len(some) > 1:
+            size = len(some) // 4 or 1
+            continue
+        if followed < 0:
+            _paths_from(int(some[0]), at, to, total, most)
+        done += len(some)
+        size = max(1, min(4 * size, len(some) * most // (2 * max(followed, 1)))) if followed >= 0 else 1
 
 
 def _passed_in_tasks(step: DataFrame, starts: DataFrame) -> DataFrame:
-    """``(node, passed)``, maybe several of a node: like ``_passed``, with all links in every task, which takes its share of the pivots one by one."""
+    """``(node, passed)``, maybe several of a node: like ``_passed``, with all links in every task, which takes its share of the pivots."""
     spark = step.sparkSession
     links = step.toArrow()
-    src, dst = (links[c].to_numpy() for c in ("src", "dst"))
-    nodes = np.unique(np.concatenate([src, dst]))
-    src, dst = np.searchsorted(nodes, src), np.searchsorted(nodes, dst)
-    order = np.argsort(src, kind="stable")
-    held = spark.sparkContext.broadcast((nodes, np.searchsorted(src[order], np.arange(len(nodes) + 1)), dst[order].astype(np.int32)))
+    nodes = np.unique(np.concatenate([np.unique(links[c].to_numpy()) for c in ("src", "dst")]))
+    src, dst = (np.searchsorted(nodes, links[c].to_numpy()).astype(np.int32) for c in ("src", "dst"))
+    del links
+    at = np.concatenate([[0], np.cumsum(np.bincount(src, minlength=len(nodes)))])
+    held = spark.sparkContext.broadcast((nodes, at, dst[np.argsort(src, kind="stable")]))
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes, at, to = held.value
-        dist, paths, mark, total = np.full(len(nodes), -1, np.int32), np.zeros(len(nodes)), np.zeros(len(nodes), np.int64), np.zeros(len(nodes))
+        total = np.zeros(len(nodes))
         for batch in batches:
-            for pivot in np.searchsorted(nodes, batch["node"].to_numpy()):
-                _paths_from(int(pivot), at, to, dist, paths, mark, total)
+            _paths_from_all(np.searchsorted(nodes, batch["node"].to_numpy()), at, to, total)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(total[some])], names=["node", "passed"])
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import community, context, health
+from ..session import written
 from ..sources.graph import between_vertices, edges, functions, vertices
 from ..sources.tables import table
 from .activity_queries import _OBS, _observations
@@ -38,7 +39,7 @@ def community_fingerprints(spark: SparkSession, d: str) -> DataFrame:
 
 def betweenness(spark: SparkSession, d: str) -> DataFrame:
     """Shortest structural paths between all nodes that pass each node."""
-    links = _structure(spark, d)
+    links = written(_structure(spark, d))  # asked for several times
     return community.betweenness(links, links.select(F.col("src").alias("node"))).select("node", F.round("betweenness", 6).alias("betweenness"))
 
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import random
+import time
 from collections import defaultdict, deque
 
+import numpy as np
 import pytest
 
 from graphweft.operators import community, context
@@ -70,6 +72,27 @@ def test_betweenness_follows_long_paths_in_batches(spark):
     assert got == pytest.approx(brute_betweenness(pairs, names))
 
 
+@pytest.mark.parametrize("most", [1, 3, 20, 1 << 20])
+def test_paths_from_one_or_many_pivots_equal_brute_force(most):
+    draw = random.Random(7)
+    pairs = sorted({(a, b) for a, b in ((draw.randrange(40), draw.randrange(40)) for _ in range(90)) if a != b})
+    pairs += [(40 + k, 41 + k) for k in range(30)] + [(71, k) for k in range(72, 80)] + [(k, 80) for k in range(72, 80)] + [(80, 71)]
+    src, to = (np.array(x) for x in zip(*pairs, strict=True))
+    at, total = np.searchsorted(src, np.arange(82)), np.zeros(81)
+    community._paths_from_all(np.unique(src), at, to, total, most)
+    want = brute_betweenness([(f"{a}", f"{b}") for a, b in pairs], [f"{k}" for k in np.unique(src)])
+    assert {f"{k}": round(total[k], 9) for k in np.flatnonzero(total)} == pytest.approx(want)
+
+
+def test_work_of_a_pivot_goes_with_what_it_reaches():
+    n = 3_000_000  # chains of three nodes; a pass over all nodes for each of 6 000 pivots would take minutes
+    at, to, total = np.minimum(np.arange(n + 1) - np.arange(n + 1) // 3, n // 3 * 2), np.arange(n)[np.arange(n) % 3 > 0], np.zeros(n)
+    began = time.thread_time()
+    community._paths_from_all(np.arange(0, 18_000, 3), at, to, total)
+    assert time.thread_time() - began < 5
+    assert total.sum() == 6000 and (total[1:18_000:3] == 1).all()
+
+
 def test_betweenness_query_takes_all_sources(spark, monkeypatch):
     pairs = [(f"s{k}", f"m{k}") for k in range(20)] + [(f"m{k}", f"t{k}") for k in range(20)]
     monkeypatch.setattr(context_queries, "_structure", lambda *_: links_of(spark, pairs))
